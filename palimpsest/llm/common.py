@@ -71,3 +71,45 @@ def text_bytes(column):
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
+
+
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs with a row number that every scan of the result repeats.
+
+    A plain file scan numbers its rows alike each time; anything else is first
+    written to the shared folder.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {line.lstrip(" +-:").split(" ")[0] for line in plan.splitlines() if line.strip()}
+    if not all(n.startswith(("Project", "Relation")) for n in nodes):
+        docs = stage_table(docs, "rows")
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound."""
+
+    bound = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.bound:
+            self.clear()
+        value = xxhash.xxh3_64_intdigest(word)
+        self[word] = value
+        return value
+
+    def of(self, words: list[bytes]):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def mix(x):
+    """A bijection on uint64 arrays that spreads every bit."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import decontam, ngram_join, packing, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +16,34 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontam.judge(decontam.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "file", "doc_number", "start", "terminated")
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies", "n_grams")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_pack": op1_pack}
+    return {
+        "op1_pack": op1_pack,
+        "op2_decontaminate": op2_decontaminate,
+        "op3_token_counts": op3_token_counts,
+        "op5_ngram_join": op5_ngram_join,
+        "op6_substring_dedup": op6_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
