@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, ngram_join, packing, substring_dedup, token_counts
+from . import decontam, ngram_join, packing, secret_scan, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS]
+    base = F.sha2(secret_scan.listed(secret_scan.KINDS[:3]), 256).alias("base_sha256")
+    return found.select("doc_id", *counts[:3], base, secret_scan.listed(secret_scan.KINDS).alias("spans"), counts[3])
+
+
 def queries() -> dict:
     return {
         "op1_pack": op1_pack,
@@ -43,6 +50,7 @@ def queries() -> dict:
         "op3_token_counts": op3_token_counts,
         "op5_ngram_join": op5_ngram_join,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_secret_scan": op7_secret_scan,
     }
 
 
