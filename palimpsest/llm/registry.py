@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, ngram_join, packing, secret_scan, substring_dedup, token_counts
+from . import decontam, language_id, lm_score, ngram_join, packing, secret_scan, substring_dedup, token_counts, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "file", "doc_number", "start", "terminated")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "n_links", "n_copies", "n_grams")
@@ -43,14 +47,26 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts[:3], base, secret_scan.listed(secret_scan.KINDS).alias("spans"), counts[3])
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def queries() -> dict:
     return {
         "op1_pack": op1_pack,
         "op2_decontaminate": op2_decontaminate,
         "op3_token_counts": op3_token_counts,
+        "op4_lm_score": op4_lm_score,
         "op5_ngram_join": op5_ngram_join,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_secret_scan": op7_secret_scan,
+        "op9_language_id": op9_language_id,
+        "op10_vector_search": op10_vector_search,
     }
 
 
