@@ -96,23 +96,27 @@ def build(items: list[tuple], size: int) -> list[WuManber]:
     return [WuManber(p) for p in classes.values()]
 
 
-SCHEMA = "doc_id bigint, text string, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+_ADDED = {"n_words": "bigint", "spans": "array<struct<start:int,end:int>>", "items": "array<string>"}
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 32 << 20, keep_text: bool = False) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 32 << 20, carry: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, merged hit ``spans`` in words, ``items``
-    (sorted ids of items with occurring windows), and with keep_text its text."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    current = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    current = current.withColumns({"n_words": F.lit(0).cast("bigint"), "spans": F.lit(None).cast("array<struct<start:int,end:int>>"), "items": F.lit(None).cast("array<string>")})
+    (sorted ids of items with occurring windows); with carry also ``doc``, a
+    struct of all the document's columns."""
+    common.small_batches(docs.sparkSession)
+    kept = {"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string")}
+    if carry:
+        kept["doc"] = F.struct("*")
+    current = docs.select(*[c.alias(k) for k, c in kept.items()])
+    current = current.withColumns({k: F.lit(None).cast(t) for k, t in _ADDED.items()})
     parts = _block_plan(benchmark, block_bytes)
     for k, part in enumerate(parts):
         last = k == len(parts) - 1
-        current = _pass(current, [(r.item, bytes(r.text)) for r in part.collect()], size, keep_text or not last)
-        if not last:
-            current = common.stage_table(current, "hits")
-    return current
+        current = _pass(current, [(r.item, bytes(r.text)) for r in part.collect()], size)
+        if last:
+            return current.drop("text")
+        current = common.stage_table(current, "hits")
+    raise AssertionError("no parts")
 
 
 def _block_plan(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
@@ -128,17 +132,20 @@ def _block_plan(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) for k in range(count)]
 
 
-def _pass(docs: DataFrame, block: list[tuple], size: int, keep_text: bool) -> DataFrame:
+def _pass(docs: DataFrame, block: list[tuple], size: int) -> DataFrame:
+    """docs with the hits of one block of the benchmark added."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
+    names = docs.columns
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         tables = build(shared.value, size)
         for batch in batches:
+            column = dict(zip(names, batch.columns, strict=True))
             counts, spans, found = [], [], []
-            for data, old, had in zip(common.text_bytes(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for data, old, had in zip(common.text_bytes(column["text"]), column["spans"].to_pylist(), column["items"].to_pylist(), strict=True):
                 w = words(data)
                 hits, items = [(x["start"], x["end"]) for x in old or ()], set(had or ())
                 for t in tables:
@@ -154,13 +161,10 @@ def _pass(docs: DataFrame, block: list[tuple], size: int, keep_text: bool) -> Da
                 counts.append(len(w))
                 spans.append([{"start": a, "end": b} for a, b in merged])
                 found.append(sorted(items))
-            texts = batch.column(1) if keep_text else pa.nulls(batch.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), texts, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "spans", "items"],
-            )
+            column |= {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, spans_kind), "items": pa.array(found, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([column[c] for c in names], names=names)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def judge(hits: DataFrame, least_share: int = 20) -> DataFrame:

@@ -173,12 +173,15 @@ def _verify(threshold: float):
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, chunk_rows: int = 128
 ) -> DataFrame:
-    """One row per row of docs: row (its number in ``common.numbered(docs)``),
+    """One row per row of docs: row (its number, ``_row``, if docs comes from
+    ``common.numbered``),
     doc_id, class_id (least doc_id of its class), is_first (one row of each
     class: the one of least doc_id, then row), n_links (documents at the threshold
     or above), n_copies (documents with the same n-gram set), n_grams."""
     bands, rows = choose_bands(threshold, recall)
-    base = common.numbered(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    if "_row" not in docs.columns:
+        docs = common.numbered(docs)
+    base = docs.select("_row", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = common.stage_table(signatures(base, n, bands, rows), "signatures")
     nodes = sig.where("whole is not null").groupBy("whole").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
     nodes = common.stage_table(nodes, "nodes")
