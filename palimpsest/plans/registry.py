@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_SQL: dict = {}
+from palimpsest.plans import analogues
+
+#: name -> (Spark query, DuckDB SQL or None)
+_ALL = analogues.QUERIES
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(_SQL)
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
