@@ -19,13 +19,15 @@ def _turned(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _turned(edges)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # written, so that the join's sides are both shuffled for it and Spark may
+    # split the rows of a node with very many edges
+    least = common.stage_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = common.stage_table(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     joined = down.join(least, "a")
     moved = joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
     return moved.where("a <> b").distinct()

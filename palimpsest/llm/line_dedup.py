@@ -84,6 +84,7 @@ def repeated(base: DataFrame, divisor: int, least_lines: int) -> DataFrame:
     found = common.stage_table(chunk_rows(base, divisor, least_lines), "chunks")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")
     shared = found.groupBy("whole").agg(F.count("*").alias("n"), F.min(order).alias("least")).where("n > 1")
+    shared = common.stage_table(shared, "repeated")  # so that the join may split a hot chunk
     marked = found.join(shared, "whole").withColumn("first", (F.col("row") == F.col("least.row")) & (F.col("at") == F.col("least.at")))
     held = common.stage_table(_chunk_bytes(base, marked.select("whole", "row", "at", "to", "first")), "shared")
     first = held.where("first").select("whole", F.col("data").alias("first_data"))

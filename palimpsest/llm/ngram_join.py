@@ -187,11 +187,15 @@ def near_duplicates(
     nodes = common.stage_table(nodes, "nodes")
     firsts = sig.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node")
     keys = firsts.select("node", F.explode("bands").alias("key"))
+    # grouped results are written before they are joined back: both sides of the
+    # join are then shuffled for it, and Spark may split a hot bucket or class
     buckets = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    buckets = common.stage_table(buckets, "buckets")
     candidates = keys.join(buckets, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = common.stage_table(connected_components(candidates), "groups")
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    sizes = common.stage_table(sizes, "sizes")
     members = groups.join(sizes, "root").join(nodes.select("node", "copies"), "node")
     members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     texts = base.select(F.col("_row").alias("node"), "text").join(members, "node")
@@ -209,6 +213,7 @@ def near_duplicates(
     placed = sig.select("row", "doc_id", "whole", "n_grams").join(found, "whole", "left").withColumn("class", F.coalesce("class", "row"))
     placed = common.stage_table(placed, "placed")
     first = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    first = common.stage_table(first, "first")
     return placed.join(first, "class").select(
         "row",
         "doc_id",

@@ -112,4 +112,4 @@ def document_token_counts(docs: DataFrame, separator: int = 50256, block_tokens:
     spark = docs.sparkSession
     folder = common.new_path(spark, "token-files")
     names = write_token_files(docs, folder, separator)
-    return count_tokens(spark, folder, separator, block_tokens=block_tokens).join(names, ["file", "doc_number"])
+    return count_tokens(spark, folder, separator, block_tokens=block_tokens).join(names.hint("merge"), ["file", "doc_number"])
