@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, line_dedup, lm_score, ngram_join, packing, secret_scan, substring_dedup, token_counts, vector_search
+from . import decontam, language_id, line_dedup, lm_score, ngram_join, oracles, packing, secret_scan, substring_dedup, token_counts, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.SQL}
+    return dict(oracles.SQL)
