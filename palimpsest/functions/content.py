@@ -274,6 +274,17 @@ def text_commands(data: bytes, two_byte=lambda font: False, parity: bool = True)
     return out
 
 
+def split_operations(data: bytes, two_byte=lambda font: False) -> tuple[list[dict], list[tuple[str, list]]]:
+    """(text commands, the operators outside text blocks)."""
+    kept, inside = [], False
+    for operator, operands in operations(data):
+        if operator in ("BT", "ET"):
+            inside = operator == "BT"
+        elif not inside:
+            kept.append((operator, operands))
+    return text_commands(data, two_byte), kept
+
+
 def glyph_path(outline: list, units: int, text: Text, state: State, force_bw: bool) -> str:
     """A glyph's outline as filled path operators in page space."""
     if not outline:

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 
 from palimpsest.functions.content import Box, overlap
-from palimpsest.functions.jpeg import encode_jpeg
+from palimpsest.functions.jpeg import decode_jpeg, encode_jpeg
 from palimpsest.sources.pdf_syntax import Document, Name, Stream, SyntaxFault
 
 REDACTED_QUALITY = 85
@@ -30,7 +30,9 @@ def image_meta(doc: Document, stream: Stream) -> dict:
 
 
 def decode_image(doc: Document, stream: Stream, meta: dict) -> np.ndarray:
-    """8-bit gray or RGB pixels of a raw or deflated image."""
+    """8-bit gray or RGB pixels of a raw, deflated or JPEG image."""
+    if meta["filter"] == "DCTDecode":
+        return decode_jpeg(doc.decoded(stream))
     if meta["filter"] == "FlateDecode":
         data = doc.decoded(stream)
     elif meta["filter"] is None:

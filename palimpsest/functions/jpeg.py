@@ -167,3 +167,155 @@ def encode_jpeg(pixels: np.ndarray, quality: int) -> bytes:
     flat = np.concatenate([flat, np.ones(-len(flat) % 8, dtype=np.uint8)])
     data = np.packbits(flat).tobytes().replace(b"\xff", b"\xff\x00")
     return head + data + b"\xff\xd9"
+
+
+class JpegFault(ValueError):
+    """A JPEG that can't be decoded here."""
+
+
+class _Bits:
+    """Entropy-coded data as bits; stuffed zeros and restart marks are out."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.n = data, 0, 0, 0
+
+    def need(self, n: int) -> None:
+        while self.n < n:
+            byte = self.data[self.at] if self.at < len(self.data) else 0
+            self.at += 1
+            self.held = (self.held << 8 | byte) & 0xFFFFFFFFFF
+            self.n += 8
+
+    def take(self, n: int) -> int:
+        if not n:
+            return 0
+        self.need(n)
+        self.n -= n
+        return self.held >> self.n & (1 << n) - 1
+
+    def symbol(self, book: list) -> int:
+        """By a table over the next 16 bits: (symbol, length)."""
+        self.need(16)
+        found = book[self.held >> self.n - 16 & 0xFFFF]
+        if not found[1]:
+            raise JpegFault("bad code")
+        self.n -= found[1]
+        return found[0]
+
+    def value(self, size: int) -> int:
+        v = self.take(size)
+        return v if not size or v >> size - 1 else v - (1 << size) + 1
+
+
+def _book(counts: bytes, symbols: bytes) -> list:
+    table, code, at = [(0, 0)] * 65536, 0, 0
+    for size, n in enumerate(counts, 1):
+        for _ in range(n):
+            first = code << 16 - size
+            table[first : first + (1 << 16 - size)] = [(symbols[at], size)] * (1 << 16 - size)
+            code, at = code + 1, at + 1
+        code <<= 1
+    return table
+
+
+def decode_jpeg(data: bytes) -> np.ndarray:
+    """Gray or RGB pixels of a baseline JPEG."""
+    if data[:2] != b"\xff\xd8":
+        raise JpegFault("not a JPEG")
+    quant, books, parts, at, interval, transform = {}, {}, [], 2, 0, None
+    while at + 4 <= len(data):
+        if data[at] != 0xFF:
+            at += 1
+            continue
+        mark = data[at + 1]
+        if mark in (0xFF, 0x00, 0x01) or 0xD0 <= mark <= 0xD8:
+            at += 1 if mark == 0xFF else 2
+            continue
+        if mark == 0xD9:
+            break
+        size = struct.unpack_from(">H", data, at + 2)[0]
+        body = data[at + 4 : at + 2 + size]
+        at += 2 + size
+        if mark == 0xDB:
+            i = 0
+            while i < len(body):
+                wide, name = body[i] >> 4, body[i] & 15
+                kind = ">u2" if wide else "u1"
+                count = 128 if wide else 64
+                table = np.zeros(64)
+                table[ZIGZAG] = np.frombuffer(body[i + 1 : i + 1 + count], dtype=kind)
+                quant[name] = table
+                i += 1 + count
+        elif mark == 0xC4:
+            i = 0
+            while i < len(body):
+                counts = body[i + 1 : i + 17]
+                n = sum(counts)
+                books[body[i]] = _book(counts, body[i + 17 : i + 17 + n])
+                i += 17 + n
+        elif mark in (0xC0, 0xC1):
+            depth, height, width, count = struct.unpack_from(">BHHB", body)
+            if depth != 8 or count not in (1, 3):
+                raise JpegFault("unsupported JPEG")
+            parts = [{"id": body[6 + 3 * k], "h": body[7 + 3 * k] >> 4, "v": body[7 + 3 * k] & 15, "q": body[8 + 3 * k]} for k in range(count)]
+        elif 0xC0 < mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            raise JpegFault("only baseline JPEGs are supported")
+        elif mark == 0xDD:
+            interval = struct.unpack(">H", body[:2])[0]
+        elif mark == 0xEE and body[:5] == b"Adobe":
+            transform = body[11]
+        elif mark == 0xDA:
+            if not parts or body[0] != len(parts):
+                raise JpegFault("unsupported scan")
+            for k in range(body[0]):
+                part = next(p for p in parts if p["id"] == body[1 + 2 * k])
+                part["dc"], part["ac"] = body[2 + 2 * k] >> 4, 16 | body[2 + 2 * k] & 15
+            return _decode_scan(data[at:], parts, quant, books, interval, height, width, transform)
+    raise JpegFault("no image in JPEG")
+
+
+def _decode_scan(data, parts, quant, books, interval, height, width, transform) -> np.ndarray:
+    import re
+
+    end = re.search(rb"\xff[^\x00\xd0-\xd7\xff]", data)
+    data = data[: end.start()] if end else data
+    runs = [r.replace(b"\xff\x00", b"\xff") for r in re.split(rb"\xff[\xd0-\xd7]", data)]
+    most_h, most_v = max(p["h"] for p in parts), max(p["v"] for p in parts)
+    if len(parts) == 1:
+        parts[0]["h"] = parts[0]["v"] = most_h = most_v = 1
+    across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+    for p in parts:
+        p["blocks"] = np.zeros((down * p["v"], across * p["h"], 64))
+    bits, before = None, {}
+    for unit in range(across * down):
+        if unit == 0 or interval and unit % interval == 0:
+            bits, before = _Bits(runs[unit // interval if interval else 0]), dict.fromkeys(range(len(parts)), 0)
+        for k, p in enumerate(parts):
+            dc_book, ac_book = books[p["dc"]], books[p["ac"]]
+            for v in range(p["v"]):
+                for h in range(p["h"]):
+                    block = p["blocks"][unit // across * p["v"] + v, unit % across * p["h"] + h]
+                    before[k] += bits.value(bits.symbol(dc_book))
+                    block[0] = before[k]
+                    i = 1
+                    while i < 64:
+                        s = bits.symbol(ac_book)
+                        if s == 0:
+                            break
+                        i += s >> 4
+                        if s & 15:
+                            if i > 63:
+                                raise JpegFault("bad run")
+                            block[ZIGZAG[i]] = bits.value(s & 15)
+                        i += 1
+    planes = []
+    for p in parts:
+        tiles = DCT.T @ (p["blocks"] * quant[p["q"]]).reshape(*p["blocks"].shape[:2], 8, 8) @ DCT + 128
+        plane = tiles.swapaxes(1, 2).reshape(tiles.shape[0] * 8, tiles.shape[1] * 8)
+        planes.append(plane.repeat(most_v // p["v"], axis=0).repeat(most_h // p["h"], axis=1)[:height, :width])
+    if len(planes) == 1:
+        return np.clip(np.round(planes[0]), 0, 255).astype(np.uint8)
+    a, b, c = planes
+    if transform != 0:
+        a, b, c = a + 1.402 * (c - 128), a - 0.344136 * (b - 128) - 0.714136 * (c - 128), a + 1.772 * (b - 128)
+    return np.clip(np.round(np.stack([a, b, c], axis=2)), 0, 255).astype(np.uint8)

@@ -61,6 +61,11 @@ def test_codes():
     assert C.tj_entries([b"A", -120, Name("x"), b"B"], False) == [[65], -120.0, [66]]
 
 
+def test_split_operations():
+    commands, kept = C.split_operations(b"q BT /F1 9 Tf (A) Tj ET 1 g Q")
+    assert [c["codes"] for c in commands] == [[65]] and [o for o, _ in kept] == ["q", "g", "Q"]
+
+
 def test_outlines_need_fonts():
     with pytest.raises(KeyError):
         C.outlines(b"BT /F99 12 Tf (Hello) Tj ET", {})

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palimpsest.functions import bilevel, compose, images, jpeg, raster
-from palimpsest.sources.pdf_syntax import Document
+from palimpsest.sources.pdf_syntax import Document, Name
 from tests.pdf_samples import gray_image
 
 
@@ -44,6 +44,22 @@ def test_jpeg(spark, tmp_path):
             jpeg.encode_jpeg(gray, bad)
 
 
+def test_jpeg_round_trip():
+    y, x = np.mgrid[0:45, 0:70]
+    gray = ((np.sin(x / 9) + np.cos(y / 7)) * 60 + 128).astype(np.uint8)
+    color = np.stack([gray, np.flip(gray, axis=1), 255 - gray], axis=2)
+    assert raster.psnr(jpeg.decode_jpeg(jpeg.encode_jpeg(gray, 90)), gray) > 35
+    assert raster.psnr(jpeg.decode_jpeg(jpeg.encode_jpeg(color, 90)), color) > 30
+    for bad in (b"", b"\xff\xd8\xff\xd9", b"\xff\xd8\xff\xc2\x00\x0b" + b"\x08" * 9):
+        with pytest.raises(jpeg.JpegFault):
+            jpeg.decode_jpeg(bad)
+    stored = gray_image()
+    stored.dict["Filter"], stored.raw = Name("DCTDecode"), jpeg.encode_jpeg(np.full((100, 100), 7, dtype=np.uint8), 90)
+    out = compose.redacted_images(Document(), b"1 g 0 0 50 50 re f q 100 0 0 100 0 0 cm /Im0 Do Q", {"Im0": stored})["Im0"]
+    pixels = jpeg.decode_jpeg(out["data"])
+    assert out["filter"] == "DCTDecode" and pixels[60:, :40].min() > 240 and pixels[:40].max() < 20
+
+
 def test_components_and_boxes():
     mask = np.zeros((100, 100), dtype=bool)
     mask[10:20, 20:40] = True
