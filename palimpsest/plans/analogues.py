@@ -220,7 +220,7 @@ def scope_state(spark, sf):
     rows = t(spark, sf, "events").withColumn("seq", F.row_number().over(order))
     kind = F.col("event_type")
     found = blocks.scope_values(rows, ["user_id"], "seq", kind == "signup", kind == "error", kind == "view", F.col("value"))
-    return rows.join(found, ["user_id", "seq"]).select("event_id", "depth", found["value"].alias("value"))
+    return rows.drop("value").join(found, ["user_id", "seq"]).select("event_id", F.col("depth").cast("bigint").alias("depth"), "value")
 
 
 @query("""
