@@ -14,6 +14,37 @@ WIN_ANSI_HIGH = {
 #: Substitute families where a family is not installed.
 SUBSTITUTES = {"Times New Roman": "Liberation Serif", "Arial": "Liberation Sans", "Helvetica": "Liberation Sans", "Courier": "Liberation Mono"}
 
+#: Characters of the glyph names that are words.
+GLYPH_NAMES = {
+    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'",
+    "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "minus": "-", "period": ".", "slash": "/",
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@",
+}
+
+
+def glyph_name_code_point(name: str) -> int | None:
+    """Code point of a glyph name: a word, a character, or uniXXXX."""
+    if name in GLYPH_NAMES:
+        return ord(GLYPH_NAMES[name])
+    if len(name) == 1:
+        return ord(name)
+    if len(name) == 7 and name.startswith("uni"):
+        try:
+            point = int(name[3:], 16)
+        except ValueError:
+            return None
+        return None if 0xD800 <= point <= 0xDFFF else point
+    return None
+
+
+def glyph_name(name: Column) -> Column:
+    """The character of a glyph name, as a Column; NULL where it has none."""
+    words = F.create_map(*[F.lit(x) for pair in GLYPH_NAMES.items() for x in pair])
+    point = F.conv(F.substring(name, 4, 4), 16, 10).cast("bigint")
+    coded = F.when(name.rlike("^uni[0-9A-Fa-f]{4}$") & ~point.between(0xD800, 0xDFFF), F.decode(F.unhex(F.substring(name, 4, 4)), "UTF-16BE"))
+    return F.coalesce(words[name], F.when(F.length(name) == 1, name), coded)
+
 
 def win_ansi_code_point(code: int) -> int | None:
     if 0x20 <= code <= 0x7E or 0xA0 <= code <= 0xFF:

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-from palimpsest.functions.names import SUBSTITUTES, win_ansi_code_point
+from palimpsest.functions.names import SUBSTITUTES, glyph_name_code_point, win_ansi_code_point
 from palimpsest.functions.truetype import FontFault, TrueType
 from palimpsest.sources.pdf_syntax import Document, Ref, Stream
 
@@ -20,6 +20,8 @@ class Font:
     two_byte: bool = False
     widths: dict[int, float] = field(default_factory=dict)
     default_width: float = 0.0
+    #: Code points of single codes that differ from WinAnsi.
+    differences: dict[int, int] = field(default_factory=dict)
 
     @property
     def units(self) -> int:
@@ -28,7 +30,7 @@ class Font:
     def glyph(self, code: int) -> int | None:
         if self.two_byte:
             return code
-        point = win_ansi_code_point(code) if code < 256 else None
+        point = self.differences.get(code) or (win_ansi_code_point(code) if code < 256 else None)
         return self.face.glyph_of(point) if point is not None else None
 
     def outline(self, code: int) -> list:
@@ -144,6 +146,22 @@ def _identity(doc: Document, font: dict) -> bool:
     return doc.get(font.get("Encoding")) == "Identity-H"
 
 
+def differences(doc: Document, font: dict) -> dict[int, int]:
+    """Code points by code of an encoding's differences; unknown names are left."""
+    encoding = doc.get(font.get("Encoding"))
+    listed = doc.get(encoding.get("Differences")) if isinstance(encoding, dict) else None
+    out, code = {}, 0
+    for x in listed or ():
+        x = doc.get(x)
+        if isinstance(x, int):
+            code = x
+        else:
+            if (point := glyph_name_code_point(str(x))) is not None:
+                out[code] = point
+            code += 1
+    return out
+
+
 def read_font(doc: Document, font: dict) -> Font:
     kind = doc.get(font.get("Subtype"))
     if kind in ("TrueType", "Type1", "MMType1"):
@@ -161,7 +179,7 @@ def read_font(doc: Document, font: dict) -> Font:
                 glyph = face.glyph_of(point) if point is not None else None
                 if glyph is not None:
                     widths[code] = face.advance(glyph)
-        return Font(face, _identity(doc, font), widths)
+        return Font(face, _identity(doc, font), widths, differences=differences(doc, font))
     if kind == "Type0":
         below = doc.get((doc.get(font.get("DescendantFonts")) or [None])[0])
         if not isinstance(below, dict):
@@ -172,7 +190,7 @@ def read_font(doc: Document, font: dict) -> Font:
         default = float(doc.get(below.get("DW", 1000)))
         listed = doc.get(below.get("W"))
         widths = cid_widths(doc, listed) if isinstance(listed, list) else {g: face.advance(g) for g in range(min(face.glyphs, 65536))}
-        return Font(face, True if "Encoding" not in font else _identity(doc, font), widths, default)
+        return Font(face, _identity(doc, font), widths, default)
     raise FontFault(f"unsupported font subtype: {kind}", skippable=True)
 
 

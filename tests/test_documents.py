@@ -72,6 +72,29 @@ def test_fonts():
     assert fonts.resolve_system_font("Helvetica-Bold", faces) is faces[0]
 
 
+def test_differences():
+    font = DEJAVU | {"Encoding": {"Differences": [65, Name("zero"), Name("nosuch"), 70, Name("uni0042")]}}
+    doc = read_document(sample([b""], {"F1": font}))
+    held = fonts.page_fonts(doc, doc.objects[doc.pages()[0]])["F1"]
+    assert held.differences == {65: ord("0"), 70: ord("B")}
+    assert held.glyph(65) == held.face.glyph_of(ord("0")) and held.glyph(66) == held.face.glyph_of(ord("B"))
+
+
+def test_names(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions import names
+
+    given = ["zero", "A", "uni00e9", "uniD800", "nosuch", "hyphen", "uni00G0"]
+    rows = spark.createDataFrame([(n,) for n in given], "n string").select("n", names.glyph_name(F.col("n")).alias("c")).collect()
+    for row in rows:
+        point = names.glyph_name_code_point(row.n)
+        assert row.c == (None if point is None else chr(point))
+    row = spark.range(1).select(names.pdf_name(F.lit("A (é)#/")).alias("p"), names.file_name(F.lit("A_b-1.é")).alias("f"), names.number(F.lit(-0.00001)).alias("z"), names.number(F.lit(2.5)).alias("n")).first()
+    assert tuple(row) == ("A#20#28#C3#A9#29#23#2F", "A_b-1%2E%C3%A9", "0", "2.5")
+    assert names.win_ansi_code_point(0x80) == 0x20AC and names.win_ansi_code_point(0x81) is None
+
+
 @pytest.fixture()
 def job_folder(tmp_path):
     (tmp_path / "a.pdf").write_bytes(sample([TEXT, TEXT, TEXT], {"F1": DEJAVU}, {"Im0": gray_image()}))
