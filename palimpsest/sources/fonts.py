@@ -207,3 +207,9 @@ def page_fonts(doc: Document, page: dict) -> dict[str, Font]:
             if not fault.skippable:
                 raise
     return out
+
+
+def font_table(spark):
+    """The driver's installed faces as a table; as small as the installation."""
+    rows = [(f["ps"], f["family"], f["bold"], f["italic"], f["path"]) for f in system_faces()]
+    return spark.createDataFrame(rows, "ps string, family string, bold boolean, italic boolean, path string")
