@@ -193,7 +193,7 @@ def _matrix_int(column, width: int):
 
 def nearest(
     table: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-    tables: int = 10, probes: int = 16, block: int = 4096, dim: int | None = None,
+    tables: int = 10, probes: int = 16, block: int = 2048, dim: int | None = None,
 ) -> DataFrame:
     """query_id, rank (from 1), id, score: the k nearest found of every row for
     which the condition is_query (a Column over ``id``) holds."""
