@@ -73,7 +73,8 @@ def chunk_rows(base: DataFrame, divisor: int, least_lines: int) -> DataFrame:
 def _chunk_bytes(base: DataFrame, wanted: DataFrame) -> DataFrame:
     """(whole, row, at, to, first, data) of the wanted chunks."""
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("whole", "at", "to", "first")).alias("parts"))
-    texts = base.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text")).join(by_row, "row")
+    texts = base.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(by_row.hint("merge"), "row")
     each = texts.select("row", F.split("text", "\n", -1).alias("lines"), F.explode("parts").alias("p"))
     data = F.array_join(F.slice("lines", F.col("p.at") + 1, F.col("p.to") - F.col("p.at")), "\n").cast("binary")
     return each.select("p.whole", "row", "p.at", "p.to", "p.first", data.alias("data"))
@@ -97,7 +98,8 @@ def dedup(docs: DataFrame, divisor: int = 3, least_lines: int = 2) -> DataFrame:
     are added."""
     base = common.numbered(docs)
     gone = repeated(base, divisor, least_lines).groupBy("row").agg(F.collect_list(F.struct("at", "to")).alias("_gone"))
-    joined = base.join(gone.withColumnRenamed("row", "_row"), "_row", "left")
+    # merged at every size: what is removed grows with the corpus
+    joined = base.join(gone.withColumnRenamed("row", "_row").hint("merge"), "_row", "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     stays = F.filter("_lines", lambda x, i: ~F.exists("_gone", lambda g: (i >= g["at"]) & (i < g["to"])))
     joined = joined.withColumns(
