@@ -77,8 +77,13 @@ def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     """docs with a row number that every scan of the result repeats.
 
     A plain file scan numbers its rows alike each time; anything else is first
-    written to the shared folder.
+    written to the shared folder. How files are split must not change between
+    scans, so what it would take from the cores at hand, which change as executors
+    come and go, is held fixed for the session.
     """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     nodes = {line.lstrip(" +-:").split(" ")[0] for line in plan.splitlines() if line.strip()}
     if not all(n.startswith(("Project", "Relation")) for n in nodes):
@@ -86,24 +91,58 @@ def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+_BASE = 0x9E3779B97F4A7C15
+_HELD: dict = {}
 
-    bound = 300_000
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _tables(n: int):
+    """Random values of the 256 bytes, white space, powers of an odd base and
+    their inverses, for at least n places."""
+    import numpy as np
+
+    if len(_HELD.get("up", ())) < n:
+        size = max(n, 1 << 20)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+            table = np.full(size, base, dtype=np.uint64)
+            table[0] = 1
+            _HELD[name] = np.multiply.accumulate(table)
+        _HELD["value"] = np.random.default_rng(2024).integers(0, 2**64, 256, dtype=np.uint64)
+        _HELD["space"] = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+    return _HELD["value"], _HELD["space"], _HELD["up"], _HELD["down"]
 
-        if len(self) >= self.bound:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        self[word] = value
-        return value
 
-    def of(self, words: list[bytes]):
-        import numpy as np
+def hash_words(texts: list, lower: bool = False, group: int = 1 << 19):
+    """64-bit hashes of the words (runs of other than ASCII white space) of all
+    texts, one after another, and the number of words of each text.
+
+    A word's hash is a polynomial of random values of its bytes, taken from
+    running sums over the text, so no word is ever handled by itself."""
+    import numpy as np
 
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+    hashes, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < group):
+            size += len(texts[end] or b"") + 1
+            end += 1
+        parts = [t or b"" for t in texts[at:end]]
+        data = b"\n".join(parts) + b"\n"
+        data = np.frombuffer(data.lower() if lower else data, dtype=np.uint8)
+        value, space, up, down = _tables(len(data))
+        gap = space[data]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edge = np.concatenate([[0], edge])
+        first, past = edge[::2], edge[1::2]  # the last byte is a gap
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(value[data] * up[: len(data)], out=total[1:])
+        h = (total[past] - total[first]) * down[first]
+        hashes.append(mix(h + (past - first).astype(np.uint64) * np.uint64(_BASE)))
+        bounds = np.cumsum([len(p) + 1 for p in parts])
+        counts.append(np.diff(np.searchsorted(first, bounds), prepend=0))
+        at = end
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
 def mix(x):

@@ -46,12 +46,21 @@ from . import common, gru
 END, REST = -1, -2
 
 
-def _tokens(hashes, data: bytes | None):
-    """Word hashes (int64) of a text; the end mark comes last."""
+def _tokens(texts: list):
+    """(token hashes as int64 of all texts, the end mark after each text's words;
+    tokens of each text)."""
     import numpy as np
 
-    h = hashes.of((data or b"").lower().split()).view(np.int64)
-    return np.append(np.where((h == END) | (h == REST), np.int64(0), h), np.int64(END))
+    h, counts = common.hash_words(texts, lower=True)
+    h = h.view(np.int64)
+    sizes = counts + 1
+    flat = np.empty(int(sizes.sum()), dtype=np.int64)
+    ends = np.cumsum(sizes) - 1
+    words = np.ones(len(flat), dtype=bool)
+    words[ends] = False
+    flat[words] = np.where((h == END) | (h == REST), np.int64(0), h)
+    flat[ends] = END
+    return flat, sizes
 
 
 def count_words(docs: DataFrame, bound: int = 400_000) -> DataFrame:
@@ -65,12 +74,11 @@ def count_words(docs: DataFrame, bound: int = 400_000) -> DataFrame:
         def rows(c: Counter):
             return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.int64()), pa.array(c.values(), pa.int64())], names=["h", "c"])
 
-        hashes, held = common.WordHashes(), Counter()
+        held: Counter = Counter()
         for batch in batches:
-            parts = [_tokens(hashes, t) for t, train in zip(common.text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True) if train]
-            if parts:
-                h, c = np.unique(np.concatenate(parts), return_counts=True)
-                held.update(dict(zip(h.tolist(), c.tolist(), strict=True)))
+            texts = [t for t, train in zip(common.text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True) if train]
+            h, c = np.unique(_tokens(texts)[0], return_counts=True)
+            held.update(dict(zip(h.tolist(), c.tolist(), strict=True)))
             if len(held) > bound:
                 yield rows(held)
                 held = Counter()
@@ -327,12 +335,13 @@ def train_round(docs: DataFrame, shared, round_no: int, share: float, least: int
 
         v, start = shared.value
         p = {k: x.copy() for k, x in start.items()}
-        opt, hashes = gru.Adam(p, 0.01), common.WordHashes()
+        opt = gru.Adam(p, 0.01)
         seen = 0
         for batch in batches:
-            held = [v.entries(_tokens(hashes, t)) for t, train in zip(common.text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True) if train]
-            if held:
-                seen += train_on(p, v, held, opt, share, least, round_no)
+            texts = [t for t, train in zip(common.text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True) if train]
+            if texts:
+                flat, sizes = _tokens(texts)
+                seen += train_on(p, v, np.split(v.entries(flat), np.cumsum(sizes)[:-1]), opt, share, least, round_no)
         if not seen:
             return
         change = ((_packed(p) - _packed(start))).astype(np.float16)
@@ -393,44 +402,31 @@ def score(
         import pyarrow as pa
 
         v, p = shared.value
-        hashes = common.WordHashes()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = [_tokens(hashes, t) for t in common.text_bytes(batch.column(2))]
-            sizes = np.array([len(t) for t in texts])
-            flat, owner = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
+            flat, sizes = _tokens(common.text_bytes(batch.column(2)))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
             c, entry = v.counts(flat), v.entries(flat)
             model = score_batch(p, v, np.split(entry, np.cumsum(sizes)[:-1])) / math.log(10)
             here, rest = c >= 0, entry == v.rest
             logs = np.where(here, np.log10(np.maximum(c, 0) + 1.0), 0.0)
-            each = lambda w: np.bincount(owner, weights=w, minlength=len(texts))
-            arrays = [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64()), pa.array(each(c > 0).astype(np.int64)), pa.array(each(logs)), pa.array(each(rest).astype(np.int64)), pa.array(each(logs * rest)), pa.array(model)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "train", "n_tokens", "known", "logs", "n_rest", "rest_logs", "model"])
-
-    def others(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        v, hashes = shared.value[0], common.WordHashes()
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            texts = [_tokens(hashes, t) for t in common.text_bytes(batch.column(2))]
-            flat, owner = np.concatenate(texts) if texts else np.zeros(0, dtype=np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-            missing = v.counts(flat) < 0
-            pairs, n = np.unique(np.stack([owner[missing], flat[missing]], axis=1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(rows[pairs[:, 0]]), pa.array(n.astype(np.int32))], names=["h", "row", "n"])
+            each = lambda w: np.bincount(owner, weights=w, minlength=len(sizes))
+            others = np.flatnonzero(~here)
+            missing = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(owner[others], minlength=len(sizes)))).astype(np.int32), pa.array(flat[others]))
+            arrays = [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64()), pa.array(each(c > 0).astype(np.int64)), pa.array(each(logs)), pa.array(each(rest).astype(np.int64)), pa.array(each(logs * rest)), pa.array(model), missing]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "train", "n_tokens", "known", "logs", "n_rest", "rest_logs", "model", "others"])
 
     source = base.select("row", "doc_id", "text", "train")
-    kinds = "row bigint, doc_id bigint, train boolean, n_tokens bigint, known bigint, logs double, n_rest bigint, rest_logs double, model double"
+    kinds = "row bigint, doc_id bigint, train boolean, n_tokens bigint, known bigint, logs double, n_rest bigint, rest_logs double, model double, others array<bigint>"
     whole = common.stage_table(source.mapInArrow(scored, kinds), "scores")
-    rare = source.mapInArrow(others, "h bigint, row bigint, n int").join(counts, "h", "left")
+    rare = whole.select("row", F.explode("others").alias("h")).join(counts, "h", "left")
     rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)).alias("rare_logs"),
+        F.count("c").alias("rare_known"),
+        F.sum(F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)).alias("rare_logs"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    each = whole.join(rare, "row", "left")
+    each = whole.drop("others").join(rare, "row", "left")
     base_unit = math.log10(v.total + v.distinct + 1)
     rest_unit = math.log10(v.rest_total + v.rest_distinct + 1)
     return each.select(

@@ -59,6 +59,13 @@ def ngram_set(word_hashes, n: int):
     return np.unique(acc)
 
 
+def _word_hashes(texts: list) -> list:
+    import numpy as np
+
+    h, counts = common.hash_words(texts, lower=True)
+    return np.split(h, np.cumsum(counts)[:-1]) if len(counts) else []
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 7) -> DataFrame:
     """Per numbered row: its n-gram set's 128-bit hash, size and band hashes."""
     common.small_batches(docs.sparkSession)
@@ -72,11 +79,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 7) ->
         mult = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
         fold = rng.integers(1, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        hashes = common.WordHashes()
         for batch in batches:
             whole, size, sig = [], [], []
-            for data in common.text_bytes(batch.column(2)):
-                grams = ngram_set(hashes.of((data or b"").lower().split()), n)
+            for words in _word_hashes(common.text_bytes(batch.column(2))):
+                grams = ngram_set(words, n)
                 size.append(len(grams))
                 if not len(grams):
                     whole.append(None)
@@ -105,10 +111,9 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashes = common.WordHashes()
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            grams = [ngram_set(hashes.of(d.lower().split()), n).tobytes() for d in common.text_bytes(batch.column(at))]
+            grams = [ngram_set(w, n).tobytes() for w in _word_hashes(common.text_bytes(batch.column(at)))]
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(grams, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "grams"])
 
@@ -198,7 +203,7 @@ def near_duplicates(
     sizes = common.stage_table(sizes, "sizes")
     members = groups.join(sizes, "root").join(nodes.select("node", "copies"), "node")
     members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    texts = base.select(F.col("_row").alias("node"), "text").join(members, "node")
+    texts = base.select(F.col("_row").alias("node"), "text").join(members.hint("merge"), "node")
     blocks = _sets(texts.select("root", "node", "copies", "chunk", "chunks", "text"), n)
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = blocks.withColumns({"ci": F.least("chunk", "other"), "cj": F.greatest("chunk", "other")})

@@ -175,26 +175,23 @@ def anchors(w, barrier, valid, size: int, rounds: int = 4):
     return name_of, place_of
 
 
-def _batch(texts: list, hashes, size: int):
+def _batch(texts: list, size: int):
     """Concatenated word hashes of the texts with enough words, barriers around
     each: (w, barrier, document index, offset of its first word)."""
     import numpy as np
 
-    parts, owners, at, wall = [np.zeros(1, dtype=np.uint64)], [], [], [0]
-    pos = 1
-    for i, data in enumerate(texts):
-        found = (data or b"").split()
-        if len(found) < size:
-            continue
-        parts += [hashes.of(found), np.zeros(1, dtype=np.uint64)]
-        owners.append(i)
-        at.append(pos)
-        pos += len(found) + 1
-        wall.append(pos - 1)
-    w = np.concatenate(parts)
+    h, counts = common.hash_words(texts)
+    owners = np.flatnonzero(counts >= size)
+    if not len(owners):
+        return np.zeros(1, dtype=np.uint64), np.ones(1, dtype=bool), owners, owners
+    own = counts[owners]
+    at = 1 + np.cumsum(own + 1) - (own + 1)
+    w = np.zeros(int((own + 1).sum()) + 1, dtype=np.uint64)
     barrier = np.zeros(len(w), dtype=bool)
-    barrier[wall] = True
-    return w, barrier, np.array(owners, dtype=np.int64), np.array(at, dtype=np.int64)
+    barrier[0] = True
+    barrier[at + own] = True
+    w[~barrier] = h[np.repeat(counts >= size, counts)]
+    return w, barrier, owners, at
 
 
 def _once(keys):
@@ -236,11 +233,10 @@ def window_runs(base: DataFrame, size: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hashes = common.WordHashes()
         for batch in batches:
             texts, rows = common.text_bytes(batch.column(1)), batch.column(0).to_numpy()
             for a, b in _groups(batch, texts):
-                w, barrier, owners, at = _batch(texts[a:b], hashes, size)
+                w, barrier, owners, at = _batch(texts[a:b], size)
                 if not len(owners):
                     continue
                 ends = np.append(at[1:], len(w)) - 1  # the barrier after each
@@ -313,14 +309,14 @@ def window_hashes(base: DataFrame, runs: DataFrame, size: int) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        hashes, press = common.WordHashes(), zstandard.ZstdDecompressor()
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for row, packed, s1, s2 in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 s1, s2 = np.array(s1, dtype=np.int64), np.array(s2, dtype=np.int64)
                 n = s2 - s1 + 1
                 s = np.repeat(s1 - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                stretch = Stretches(hashes.of(press.decompress(packed).split()))
+                stretch = Stretches(common.hash_words([press.decompress(packed)])[0])
                 for k, x in enumerate((stretch.of(0, s, s + size), stretch.of(1, s, s + size), np.full(len(s), row), s)):
                     out[k].append(x)
             if not out[0]:
