@@ -1,4 +1,7 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines, or by all repeated runs.
+
+``dedup`` removes chunks, as its SQL states; ``dedup_runs`` removes every repeated
+run of at least two lines.
 
 A line's hash is the first 32 bits of its MD5. A rolling hash over the hashes of
 the last two lines ends a chunk where it is divisible by ``divisor``, so
@@ -13,6 +16,12 @@ bytes alone are gathered for the comparison. Counts are combined before the
 shuffle, and the comparison is a join whose hot keys Spark may split, so a chunk
 that a third of all documents hold needs no task of its own.
 
+Runs: a run of two lines or more that occurs before is one whose every pair of
+neighbouring lines occurs before, so the pairs alone are compared, by the SHA-256
+of their bytes. Both lines of each pair but the first of its kind go. A pair of
+equal lines that overlaps the first of its kind is not another one. The first
+place of any line is in no later pair, so no line is lost from the corpus.
+
 Rows: a null text stays null and has no lines; an empty text is one empty line. A
 text whose every line goes becomes empty. Rows that repeat or share an id are
 separate documents: the first keeps its chunks. An empty table gives no rows.
@@ -113,7 +122,67 @@ def dedup(docs: DataFrame, divisor: int = 3, least_lines: int = 2) -> DataFrame:
     return joined.withColumn("text", text).drop("_row", "_gone", "_lines")
 
 
-#: The same by DuckDB, on a table of unique ids.
+def pair_rows(base: DataFrame) -> DataFrame:
+    """(whole, row, id, at) of every two neighbouring lines; whole is the SHA-256
+    of their bytes, at the first one's place."""
+    common.small_batches(base.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.text_bytes(batch.column(2)), strict=True):
+                lines = text.split(b"\n") if text is not None else []
+                n = len(lines) - 1
+                if n < 1:
+                    continue
+                out[0] += [hashlib.sha256(a + b"\n" + b).digest() for a, b in zip(lines[:-1], lines[1:], strict=True)]
+                out[1] += [row] * n
+                out[2] += [doc_id] * n
+                out[3] += range(n)
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["whole", "row", "id", "at"])
+
+    chosen = base.select("_row", F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return chosen.mapInArrow(run, "whole binary, row bigint, id bigint, at int")
+
+
+def repeated_pairs(base: DataFrame) -> DataFrame:
+    """(row, at) of the pairs of lines to remove."""
+    found = common.stage_table(pair_rows(base), "pairs")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")
+    shared = found.groupBy("whole").agg(F.count("*").alias("n"), F.min(order).alias("least")).where("n > 1")
+    shared = common.stage_table(shared, "repeated")  # so that the join may split a hot pair
+    own = (F.col("row") == F.col("least.row")) & (F.col("at") <= F.col("least.at") + 1)
+    return common.stage_table(found.join(shared, "whole").where(~own).select("row", "at"), "spare")
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """docs, its text without the repeated runs of two lines or more; ``_n_lines``
+    and ``_n_removed`` are added."""
+    base = common.numbered(docs)
+    gone = repeated_pairs(base).groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("_at"))
+    # pairs that follow one another are one run
+    starts = F.filter("_at", lambda x, i: (i == 0) | (F.get("_at", i - 1) < x - 1))
+    past = F.transform(F.filter("_at", lambda x, i: (i == F.size("_at") - 1) | (F.get("_at", i + 1) > x + 1)), lambda x: x + 2)
+    gone = gone.select(F.col("row").alias("_row"), starts.alias("_from"), past.alias("_past"))
+    joined = base.join(gone.hint("merge"), "_row", "left")
+    lines = F.split(F.col("text").cast("string"), "\n", -1)
+    joined = joined.withColumns(
+        {
+            "_n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
+            "_n_removed": F.coalesce(F.aggregate(F.arrays_zip("_from", "_past"), F.lit(0), lambda s, g: s + g["_past"] - g["_from"]), F.lit(0)).cast("bigint"),
+            "_lines": F.when(F.col("_from").isNotNull(), lines),
+        }
+    )
+    between = F.arrays_zip(F.concat(F.array(F.lit(0)), "_past").alias("a"), F.concat("_from", F.array(F.size("_lines"))).alias("b"))
+    stays = F.flatten(F.transform(between, lambda g: F.slice("_lines", g["a"] + 1, g["b"] - g["a"])))
+    text = F.when(F.col("_from").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    return joined.withColumn("text", text).drop("_row", "_from", "_past", "_lines")
+
+
+#: ``dedup`` by DuckDB, on a table of unique ids.
 SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
