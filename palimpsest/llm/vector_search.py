@@ -7,6 +7,14 @@ A query probes, in each table, the ``probes`` axes nearest to its own rotation;
 rows of any probed bucket are candidates, all of them, and are ranked by exact
 cosine in double precision.
 
+How many axes are probed is measured on the table itself: a sample of queries is
+compared exactly with a sample of rows, and ``probes`` becomes the least number by
+which the share ``recall`` of their nearest rows are candidates (``LEAST_PROBES``
+at least; all axes if need be). A sample's nearest rows are farther off than those
+of the whole table, so the number errs upwards. Queries that then have fewer than
+``k`` candidates, or fewer than ``least_share`` of all rows, are compared with all
+rows, in blocks as the others.
+
 Queries travel in blocks of about ``block`` vectors, each broadcast (a bounded
 size: block x dimension doubles) and run against all indexed rows where they lie;
 a task keeps each query's ``k`` best of its candidates, so a vector that many
@@ -28,6 +36,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+LEAST_PROBES = 16
+
 
 def hadamard(x):
     """Fast Walsh-Hadamard transform of the rows, scaled to keep lengths."""
@@ -67,6 +77,19 @@ class CrossPolytope:
 
         return np.stack([self.axes(x, t).argmax(axis=1) for t in range(self.tables)], axis=1).astype(np.int32)
 
+    def ranks(self, x, buckets):
+        """rank[query, row]: how many axes of the query are nearer than the row's
+        bucket, in the table where they are fewest."""
+        import numpy as np
+
+        least = np.full((len(x), len(buckets)), 2 * self.width)
+        for t in range(self.tables):
+            near = np.argsort(-self.axes(x, t), axis=1, kind="stable")
+            place = np.empty_like(near)
+            np.put_along_axis(place, near, np.arange(near.shape[1])[None, :], axis=1)
+            np.minimum(least, place[:, buckets[:, t]], out=least)
+        return least
+
     def probes(self, x, count: int):
         """probed[table][query, bucket]"""
         import numpy as np
@@ -122,8 +145,31 @@ def build_index(rows: DataFrame, dim: int, tables: int) -> DataFrame:
     return common.stage_table(rows.select("row", "id", "v").mapInArrow(run, "row bigint, id bigint, v array<double>, buckets array<int>"), "index")
 
 
-def search(index: DataFrame, queries: DataFrame, dim: int, tables: int, probes: int, k: int, block: int) -> DataFrame:
-    """(query_row, query_id, row, id, score): each query's best k of a task."""
+def enough_probes(index: DataFrame, queries: DataFrame, dim: int, tables: int, k: int, recall: float, n: int, n_queries: int) -> int:
+    """The least probes that find the share recall of the k nearest of a sample."""
+    import numpy as np
+
+    def sample(rows: DataFrame, count: int, size: int):
+        part = rows.where(F.pmod(F.xxhash64("row"), F.lit(max(1, count // size))) == 0)
+        got = part.select("row", "v", "buckets").toArrow().combine_chunks()
+        return got.column("row").to_numpy(), _matrix(got.column("v").combine_chunks(), dim), _matrix_int(got.column("buckets").combine_chunks(), tables)
+
+    width = 2 * CrossPolytope(dim, 1).width
+    own, q, _ = sample(queries, n_queries, 256)
+    rows, v, buckets = sample(index, n, max(1, min(4096, (1 << 22) // dim)))
+    if not len(q) or len(v) <= k:
+        return min(LEAST_PROBES, width)
+    q = unit(q)
+    score = np.where(own[:, None] != rows[None, :], q @ unit(v).T, -np.inf)
+    nearest_k = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    needed = np.sort(np.take_along_axis(CrossPolytope(dim, tables).ranks(q, buckets), nearest_k, axis=1).ravel()) + 1
+    return min(width, max(LEAST_PROBES, int(needed[int(np.ceil(recall * len(needed))) - 1])))
+
+
+def search(index: DataFrame, queries: DataFrame, dim: int, tables: int, probes: int | None, k: int, block: int) -> DataFrame:
+    """(query_row, query_id, row, id, score, seen): each query's best k of a task,
+    the first of them with the number of the task's candidates. All rows are
+    candidates if probes is None."""
     spark = index.sparkSession
     count = queries.count()
     parts = max(1, -(-count // block))
@@ -131,14 +177,12 @@ def search(index: DataFrame, queries: DataFrame, dim: int, tables: int, probes:
     for p in range(parts):
         part = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == p)
         shared = spark.sparkContext.broadcast([(r.row, r.id, list(r.v)) for r in part.select("row", "id", "v").collect()])
-        found = _search_block(index, shared, dim, tables, probes, k)
-        if parts > 1:
-            found = common.stage_table(found, "found")
+        found = common.stage_table(_search_block(index, shared, dim, tables, probes, k), "found")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search_block(index: DataFrame, shared, dim: int, tables: int, probes: int, k: int) -> DataFrame:
+def _search_block(index: DataFrame, shared, dim: int, tables: int, probes: int | None, k: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -148,17 +192,21 @@ def _search_block(index: DataFrame, shared, dim: int, tables: int, probes: int,
             return
         own = np.array([a[0] for a in asked])
         q = unit(np.array([a[2] for a in asked], dtype=np.float64).reshape(-1, dim))
-        probed = CrossPolytope(dim, tables).probes(q, probes)
+        probed = CrossPolytope(dim, tables).probes(q, probes) if probes is not None else None
         held: list = [None] * len(asked)  # (scores, ids, rows)
+        seen = np.zeros(len(asked), dtype=np.int64)
         for batch in batches:
             rows = batch.column(0).to_numpy()
             ids = np.array(batch.column(1).to_pylist(), dtype=object)
             v = unit(_matrix(batch.column(2), dim))
-            bucket = _matrix_int(batch.column(3), tables)
-            near = probed[0][:, bucket[:, 0]]
-            for t in range(1, tables):
-                near |= probed[t][:, bucket[:, t]]
-            near &= own[:, None] != rows[None, :]
+            near = own[:, None] != rows[None, :]
+            if probed is not None:
+                bucket = _matrix_int(batch.column(3), tables)
+                hit = probed[0][:, bucket[:, 0]]
+                for t in range(1, tables):
+                    hit |= probed[t][:, bucket[:, t]]
+                near &= hit
+            seen += near.sum(axis=1)
             rough = np.where(near, q @ v.T, -np.inf)
             for i in range(len(asked)):
                 line = rough[i]
@@ -176,15 +224,15 @@ def _search_block(index: DataFrame, shared, dim: int, tables: int, probes: int,
                     new = tuple(np.concatenate(x) for x in zip(held[i], new, strict=True))
                 order = sorted(range(len(new[0])), key=lambda j: (-new[0][j], new[1][j] is None, new[1][j] or 0, new[2][j]))[:k] if len(new[0]) > k else range(len(new[0]))
                 held[i] = tuple(x[list(order)] for x in new)
-        out: list[list] = [[], [], [], [], []]
-        for (row, qid, _), h in zip(asked, held, strict=True):
-            for score, rid, r in zip(*h, strict=True) if h is not None else ():
-                for column, x in zip(out, (row, qid, int(r), rid, float(score)), strict=True):
+        out: list[list] = [[], [], [], [], [], []]
+        for (row, qid, _), h, n in zip(asked, held, seen.tolist(), strict=True):
+            for j, (score, rid, r) in enumerate(zip(*h, strict=True) if h is not None else ()):
+                for column, x in zip(out, (row, qid, int(r), rid, float(score), 0 if j else n), strict=True):
                     column.append(x)
-        kinds = [pa.int64()] * 4 + [pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["query_row", "query_id", "row", "id", "score"])
+        kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["query_row", "query_id", "row", "id", "score", "seen"])
 
-    return index.mapInArrow(run, "query_row bigint, query_id bigint, row bigint, id bigint, score double")
+    return index.mapInArrow(run, "query_row bigint, query_id bigint, row bigint, id bigint, score double, seen bigint")
 
 
 def _matrix_int(column, width: int):
@@ -193,13 +241,26 @@ def _matrix_int(column, width: int):
 
 def nearest(
     table: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-    tables: int = 10, probes: int = 16, block: int = 2048, dim: int | None = None,
+    tables: int = 10, probes: int | None = None, block: int = 2048, dim: int | None = None,
+    recall: float = 0.995, least_share: float = 0.01,
 ) -> DataFrame:
     """query_id, rank (from 1), id, score: the k nearest found of every row for
-    which the condition is_query (a Column over ``id``) holds."""
+    which the condition is_query (a Column over ``id``) holds. probes None: as
+    many as the measured recall needs."""
     rows, dim = valid_vectors(table, id_col, vector_col, dim)
-    index = build_index(rows, max(dim, 1), tables)
-    found = search(index, index.where(is_query), max(dim, 1), tables, probes, k, block)
+    dim = max(dim, 1)
+    index = build_index(rows, dim, tables)
+    queries = index.where(is_query)
+    n, n_queries = index.count(), queries.count()
+    if probes is None:
+        probes = enough_probes(index, queries, dim, tables, k, recall, n, n_queries)
+    found = search(index, queries, dim, tables, probes, k, block)
+    enough = found.groupBy("query_row").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"))
+    enough = enough.where((F.col("n") >= k) & (F.col("seen") >= F.lit(least_share * n))).select(F.col("query_row").alias("row"))
+    short = common.stage_table(queries.join(enough, "row", "left_anti").select("row", "id", "v"), "short")
+    if not short.isEmpty():
+        found = found.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti")
+        found = found.unionByName(search(index, short, dim, tables, None, k, block))
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")
