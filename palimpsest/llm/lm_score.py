@@ -9,12 +9,12 @@ is proper.
 
 1. Counts of every token of all training documents (Spark, hashed words; equal
    words of a task are summed before the shuffle).
-2. Training: truncated backpropagation through time in numpy. In each round every
-   task goes on from the common parameters over windows of all its batches, with
-   the state carried from window to window, and the tasks' parameters are
-   averaged, weighted by tokens, in a tree. Windows are a fixed share of a
-   task's tokens, so what training reads grows with the corpus. Output biases
-   start at the corpus' class and word frequencies.
+2. Training: truncated backpropagation through time in numpy over every window of
+   every training document, once, with the state carried from window to window.
+   Each document belongs to one round. In a round every task goes on from the
+   common parameters over its documents of the round, and the tasks' parameters
+   are averaged, weighted by tokens, in a tree. Output biases start at the corpus'
+   class and word frequencies.
 3. Scoring: the state is carried across windows from a document's first token to
    its end; every document is scored whole.
 
@@ -235,57 +235,64 @@ def lanes_of(lengths, lanes: int):
     return [held[k] for k in sorted(range(len(held)), key=lambda k: -total[k])]
 
 
-def _grid(docs: list, lanes: int, end: int):
-    """Time x lane arrays: token, token before (the end mark at a document's
-    start), keep (0 there), document index (-1 pads); and the lanes' lengths."""
-    import numpy as np
+class Lanes:
+    """Documents of model entries in lanes, longest lane first, one after another
+    in flat arrays, so a long document costs no padding."""
+
+    def __init__(self, docs: list, lanes: int, end: int):
+        import numpy as np
+
+        dealt = lanes_of([len(d) for d in docs], lanes)
+        order = [i for lane in dealt for i in lane]
+        sizes = np.array([len(docs[i]) for i in order])
+        starts = np.cumsum(sizes) - sizes
+        self.end = end
+        self.lengths = np.array([sum(len(docs[i]) for i in lane) for lane in dealt])
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.token = np.concatenate([docs[i] for i in order]).astype(np.int32)
+        self.before = np.append(np.int32(end), self.token[:-1])
+        self.before[starts] = end
+        self.keep = np.ones(len(self.token), dtype=np.float32)
+        self.keep[starts] = 0
+        self.doc = np.repeat(np.array(order, dtype=np.int32), sizes)
+
+    def live(self, k: int) -> int:
+        """How many lanes have a token at time k."""
+        return int((self.lengths > k).sum())
+
+    def window(self, k: int, steps: int):
+        """Time x lane arrays from time k on: token, token before (the end mark at
+        a document's start), keep (0 there), document index (-1 pads)."""
+        import numpy as np
+
+        live = self.live(k)
+        t = np.arange(k, min(k + steps, int(self.lengths[0])))[:, None]
+        real = t < self.lengths[:live]
+        at = np.where(real, self.first[:live] + t, 0)
+        return np.where(real, self.token[at], self.end), np.where(real, self.before[at], self.end), np.where(real, self.keep[at], np.float32(1)), np.where(real, self.doc[at], -1)
 
-    dealt = lanes_of([len(d) for d in docs], lanes)
-    lengths = np.array([sum(len(docs[i]) for i in lane) for lane in dealt])
-    steps = int(lengths.max())
-    token = np.full((len(dealt), steps), end)
-    before, doc = token.copy(), np.full((len(dealt), steps), -1)
-    keep = np.ones((len(dealt), steps), dtype=np.float32)
-    for k, lane in enumerate(dealt):
-        pos = 0
-        for i in lane:
-            n = len(docs[i])
-            token[k, pos : pos + n] = docs[i]
-            before[k, pos + 1 : pos + n] = docs[i][:-1]
-            keep[k, pos] = 0
-            doc[k, pos : pos + n] = i
-            pos += n
-    return token.T, before.T, keep.T, doc.T, lengths
-
-
-def train_on(p: dict, v: Vocabulary, docs: list, opt, share: float, least: int, phase: int, steps: int = 24, lanes: int = 64) -> int:
-    """Truncated BPTT over a share of the windows of docs (least windows at
-    least, all if fewer), in runs from places spread over the lanes; the state
-    is carried within a run. Returns the tokens learned from."""
+
+def train_on(p: dict, v: Vocabulary, docs: list, opt, steps: int = 48, lanes: int = 256) -> int:
+    """Truncated BPTT over every window of docs, the state carried from each to
+    the next. Windows grow longer as lanes end, so that each holds about as many
+    tokens. Returns the tokens learned from: all of them."""
     import numpy as np
 
-    token, before, keep, doc, _ = _grid(docs, lanes, v.end)
-    windows = -(-len(token) // steps)
-    wanted = min(windows, max(math.ceil(share * windows), least))
-    h = np.zeros((token.shape[1], p["u"].shape[0]), dtype=np.float32)
-    seen, last = 0, -2
-    for k in sorted({(i * windows // wanted + phase) % windows for i in range(wanted)}):
-        if k != last + 1:
-            h = np.zeros_like(h)
-        last = k
-        cut = slice(k * steps, (k + 1) * steps)
-        prev, kept, live = before[cut], keep[cut], doc[cut] >= 0
-        if not live.any():
-            continue
-        states, h, saved = gru.forward(p["x"][prev], p["u"], h, kept, store=True)
-        flat = live.ravel()
-        _, g, back = log_probs(p, v, states.reshape(-1, states.shape[2])[flat], token[cut].ravel()[flat], grads=True)
-        grad = np.zeros((len(flat), states.shape[2]), dtype=np.float32)
-        grad[flat] = back
+    held = Lanes(docs, lanes, v.end)
+    h = np.zeros((len(held.lengths), p["u"].shape[0]), dtype=np.float32)
+    seen, k = 0, 0
+    while live := held.live(k):
+        token, prev, kept, doc = held.window(k, min(steps * lanes // live, 20 * steps))
+        real = doc.ravel() >= 0
+        states, h, saved = gru.forward(p["x"][prev], p["u"], h[:live], kept, store=True)
+        _, g, back = log_probs(p, v, states.reshape(-1, states.shape[2])[real], token.ravel()[real], grads=True)
+        grad = np.zeros((len(real), states.shape[2]), dtype=np.float32)
+        grad[real] = back
         dx, g["u"] = gru.backward(grad.reshape(states.shape), p["u"], saved, kept)
         g["x"] = gru.scatter_rows(prev.ravel(), dx.reshape(-1, dx.shape[2]), len(p["x"]))
         opt.step(g)
-        seen += int(flat.sum())
+        seen += int(real.sum())
+        k += len(token)
     return seen
 
 
@@ -294,15 +301,14 @@ def score_batch(p: dict, v: Vocabulary, docs: list, steps: int = 64, lanes: int
     import numpy as np
 
     total = np.zeros(len(docs))
-    token, before, keep, doc, lengths = _grid(docs, lanes, v.end)
-    h = np.zeros((token.shape[1], p["u"].shape[0]), dtype=np.float32)
-    for k in range(0, len(token), steps):
-        live = int((lengths > k).sum())  # lanes are longest first
-        cut = slice(k, k + steps)
-        states, h, _ = gru.forward(p["x"][before[cut, :live]], p["u"], h[:live], keep[cut, :live])
-        at = doc[cut, :live].ravel()
+    held = Lanes(docs, lanes, v.end)
+    h = np.zeros((len(held.lengths), p["u"].shape[0]), dtype=np.float32)
+    for k in range(0, int(held.lengths[0]), steps):
+        token, before, keep, doc = held.window(k, steps)
+        states, h, _ = gru.forward(p["x"][before], p["u"], h[: held.live(k)], keep)
+        at = doc.ravel()
         real = at >= 0
-        got = log_probs(p, v, states.reshape(-1, states.shape[2])[real], token[cut, :live].ravel()[real])
+        got = log_probs(p, v, states.reshape(-1, states.shape[2])[real], token.ravel()[real])
         total += np.bincount(at[real], weights=got.astype(np.float64), minlength=len(docs))
     return total
 
@@ -324,7 +330,7 @@ def _unpacked(flat, like: dict) -> dict:
     return out
 
 
-def train_round(docs: DataFrame, shared, round_no: int, share: float, least: int, fan_in: int = 32) -> DataFrame:
+def train_round(docs: DataFrame, shared, fan_in: int = 32) -> DataFrame:
     """(part, weight, change): each task's change of the parameters times its
     tokens, summed in a tree down to at most fan_in rows a slice."""
 
@@ -341,7 +347,7 @@ def train_round(docs: DataFrame, shared, round_no: int, share: float, least: int
             texts = [t for t, train in zip(common.text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True) if train]
             if texts:
                 flat, sizes = _tokens(texts)
-                seen += train_on(p, v, np.split(v.entries(flat), np.cumsum(sizes)[:-1]), opt, share, least, round_no)
+                seen += train_on(p, v, np.split(v.entries(flat), np.cumsum(sizes)[:-1]), opt)
         if not seen:
             return
         change = ((_packed(p) - _packed(start))).astype(np.float16)
@@ -368,13 +374,16 @@ def train_round(docs: DataFrame, shared, round_no: int, share: float, least: int
     return rows
 
 
-def fit(docs: DataFrame, v: Vocabulary, size: int, rounds: int, share: float, least: int) -> dict:
+def fit(docs: DataFrame, v: Vocabulary, size: int, rounds: int) -> dict:
+    """The model after every training document has been learned from in one of
+    the rounds, whole."""
     import numpy as np
 
     p = new_model(v, size)
     for r in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast((v, p))
-        got = sorted(train_round(docs, shared, r, share, least).collect(), key=lambda row: row["part"])
+        part = docs.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == r)
+        got = sorted(train_round(part, shared).collect(), key=lambda row: row["part"])
         if got:
             change = np.concatenate([np.frombuffer(row["change"], dtype=np.float16) for row in got]).astype(np.float32)
             p = _unpacked(_packed(p) + change, p)
@@ -384,7 +393,7 @@ def fit(docs: DataFrame, v: Vocabulary, size: int, rounds: int, share: float, le
 
 def score(
     docs: DataFrame, folds: int = 7, held_fold: int = 2, vocabulary_size: int = 4096, classes: int = 64, size: int = 32,
-    hot_words: int = 1 << 20, rounds: int = 2, share: float = 0.04, least: int = 24,
+    hot_words: int = 1 << 20, rounds: int = 2,
 ) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
@@ -394,7 +403,7 @@ def score(
     base = base.withColumn("train", common.id_split("doc_id", folds) != held_fold)
     counts = common.stage_table(count_words(base), "counts")
     v = vocabulary(counts, vocabulary_size, classes, hot_words)
-    params = fit(base, v, size, rounds, share, least)
+    params = fit(base, v, size, rounds)
     shared = spark.sparkContext.broadcast((v, params))
 
     def scored(batches: Iterator) -> Iterator:
