@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    folder set here where the session names none (local tests only)."""
+    folder set here where a session of one process names none (local tests only).
+    A cluster that names none is an error."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isEmpty():
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     return set_dir.get().rstrip("/")
@@ -30,18 +34,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_table(staged: DataFrame) -> None:
+    """Delete a table of stage_table() that nothing reads any more."""
+    drop_path(staged.sparkSession, staged._staged_path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of new_path() that nothing reads any more."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (dots as two underscores) that hold within the block."""
+    before = {k: spark.conf.get(k.replace("__", "."), None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k.replace("__", "."), v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k.replace("__", "."))
+            else:
+                spark.conf.set(k.replace("__", "."), v)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and reread it: cuts the lineage, and lost
-    executors cost no more than the tasks they were running."""
+    executors cost no more than the tasks they were running. The write's shuffle
+    files go as soon as it ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -74,13 +101,16 @@ def text_bytes(column):
 
 
 def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """docs with a row number that every scan of the result repeats.
+    """docs with a row number that every scan of the result repeats. A column of
+    that name, in whatever case, is an error, not overwritten.
 
     A plain file scan numbers its rows alike each time; anything else is first
     written to the shared folder. How files are split must not change between
     scans, so what it would take from the cores at hand, which change as executors
     come and go, is held fixed for the session.
     """
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the rows already have a column {name}")
     spark = docs.sparkSession
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
@@ -107,19 +137,22 @@ def _tables(n: int):
             table[0] = 1
             _HELD[name] = np.multiply.accumulate(table)
         _HELD["value"] = np.random.default_rng(2024).integers(0, 2**64, 256, dtype=np.uint64)
+        _HELD["second"] = np.random.default_rng(4202).integers(0, 2**64, 256, dtype=np.uint64)
         _HELD["space"] = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
     return _HELD["value"], _HELD["space"], _HELD["up"], _HELD["down"]
 
 
-def hash_words(texts: list, lower: bool = False, group: int = 1 << 19):
+def hash_words(texts: list, lower: bool = False, group: int = 1 << 19, twice: bool = False):
     """64-bit hashes of the words (runs of other than ASCII white space) of all
-    texts, one after another, and the number of words of each text.
+    texts, one after another, and the number of words of each text; with twice a
+    second, independent hash of each word stands between them.
 
     A word's hash is a polynomial of random values of its bytes, taken from
     running sums over the text, so no word is ever handled by itself."""
     import numpy as np
 
     hashes, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    others = [np.zeros(0, dtype=np.uint64)]
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -139,9 +172,14 @@ def hash_words(texts: list, lower: bool = False, group: int = 1 << 19):
         np.cumsum(value[data] * up[: len(data)], out=total[1:])
         h = (total[past] - total[first]) * down[first]
         hashes.append(mix(h + (past - first).astype(np.uint64) * np.uint64(_BASE)))
+        if twice:
+            np.cumsum(_HELD["second"][data] * up[: len(data)], out=total[1:])
+            others.append(mix((total[past] - total[first]) * down[first] + np.uint64(0xC2B2AE3D27D4EB4F)))
         bounds = np.cumsum([len(p) + 1 for p in parts])
         counts.append(np.diff(np.searchsorted(first, bounds), prepend=0))
         at = end
+    if twice:
+        return np.concatenate(hashes), np.concatenate(others), np.concatenate(counts)
     return np.concatenate(hashes), np.concatenate(counts)
 
 

@@ -24,9 +24,11 @@ place of any line is in no later pair, so no line is lost from the corpus.
 
 Rows: a null text stays null and has no lines; an empty text is one empty line. A
 text whose every line goes becomes empty. Rows that repeat or share an id are
-separate documents: the first keeps its chunks. An empty table gives no rows.
-Only ``doc_id`` and ``text`` are read; all other columns, of any name, pass
-through.
+separate documents: the first keeps its chunks. An empty table gives no rows. A
+very long text costs time in proportion to its length: what goes are sorted spans,
+and the lines between them are copied once. Only ``doc_id`` and ``text`` are read;
+all other columns, of any name, pass through, but for any called ``_n_lines`` or
+``_n_removed`` (in whatever case), in whose place the counts stand.
 """
 
 from __future__ import annotations
@@ -83,10 +85,28 @@ def _chunk_bytes(base: DataFrame, wanted: DataFrame) -> DataFrame:
     """(whole, row, at, to, first, data) of the wanted chunks."""
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("whole", "at", "to", "first")).alias("parts"))
     texts = base.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(by_row.hint("merge"), "row")
-    each = texts.select("row", F.split("text", "\n", -1).alias("lines"), F.explode("parts").alias("p"))
-    data = F.array_join(F.slice("lines", F.col("p.at") + 1, F.col("p.to") - F.col("p.at")), "\n").cast("binary")
-    return each.select("p.whole", "row", "p.at", "p.to", "p.first", data.alias("data"))
+    texts = texts.join(by_row.hint("merge"), "row").select("row", "text", "parts.whole", "parts.at", "parts.to", "parts.first")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            held = 0
+            columns = [batch.column(0).to_pylist(), common.text_bytes(batch.column(1)), *(batch.column(i).to_pylist() for i in range(2, 6))]
+            for row, text, *parts in zip(*columns, strict=True):
+                lines = text.split(b"\n")
+                for whole, at, to, first in zip(*parts, strict=True):
+                    for column, x in zip(out, (whole, row, at, to, first, b"\n".join(lines[at:to])), strict=True):
+                        column.append(x)
+                    held += len(out[5][-1])
+                if held > 32 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["whole", "row", "at", "to", "first", "data"])
+                    out, held = [[], [], [], [], [], []], 0
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["whole", "row", "at", "to", "first", "data"])
+
+    return texts.mapInArrow(run, "whole binary, row bigint, at int, to int, first boolean, data binary")
 
 
 def repeated(base: DataFrame, divisor: int, least_lines: int) -> DataFrame:
@@ -102,24 +122,42 @@ def repeated(base: DataFrame, divisor: int, least_lines: int) -> DataFrame:
     return common.stage_table(spare.select("row", "at", "to"), "spare")
 
 
-def dedup(docs: DataFrame, divisor: int = 3, least_lines: int = 2) -> DataFrame:
-    """docs, its text without the repeated chunks; ``_n_lines`` and ``_n_removed``
-    are added."""
-    base = common.numbered(docs)
-    gone = repeated(base, divisor, least_lines).groupBy("row").agg(F.collect_list(F.struct("at", "to")).alias("_gone"))
+ADDED = ("_n_lines", "_n_removed")
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """Numbered rows of doc_id, text and ``doc``, all of docs' columns, so that no
+    name of theirs meets one used here."""
+    return common.numbered(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct("*").alias("doc")))
+
+
+def _without(base: DataFrame, spans: DataFrame) -> DataFrame:
+    """base's ``doc`` columns, text without the spans (row, spans: sorted, disjoint
+    array of (at, to) lines), and ADDED."""
+    names = base.schema["doc"].dataType.names
     # merged at every size: what is removed grows with the corpus
-    joined = base.join(gone.withColumnRenamed("row", "_row").hint("merge"), "_row", "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    stays = F.filter("_lines", lambda x, i: ~F.exists("_gone", lambda g: (i >= g["at"]) & (i < g["to"])))
+    joined = base.join(spans.select(F.col("row").alias("_row"), F.col("spans.at").alias("_from"), F.col("spans.to").alias("_past")).hint("merge"), "_row", "left")
+    lines = F.split("text", "\n", -1)
     joined = joined.withColumns(
         {
-            "_n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
-            "_n_removed": F.coalesce(F.aggregate("_gone", F.lit(0), lambda s, g: s + g["to"] - g["at"]), F.lit(0)).cast("bigint"),
-            "_lines": F.when(F.col("_gone").isNotNull(), lines),
+            ADDED[0]: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
+            ADDED[1]: F.coalesce(F.aggregate(F.arrays_zip("_from", "_past"), F.lit(0), lambda s, g: s + g["_past"] - g["_from"]), F.lit(0)).cast("bigint"),
+            "_lines": F.when(F.col("_from").isNotNull(), lines),
         }
     )
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    return joined.withColumn("text", text).drop("_row", "_gone", "_lines")
+    between = F.arrays_zip(F.concat(F.array(F.lit(0)), "_past").alias("a"), F.concat("_from", F.array(F.size("_lines"))).alias("b"))
+    stays = F.flatten(F.transform(between, lambda g: F.slice("_lines", g["a"] + 1, g["b"] - g["a"])))
+    text = F.when(F.col("_from").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    kept = [text.alias(c) if c.lower() == "text" else F.col("doc").getField(c).alias(c) for c in names if c.lower() not in ADDED]
+    return joined.select(*kept, *ADDED)
+
+
+def dedup(docs: DataFrame, divisor: int = 3, least_lines: int = 2) -> DataFrame:
+    """docs, its text without the repeated chunks; ``_n_lines`` and ``_n_removed``
+    are added."""
+    base = _carried(docs)
+    gone = repeated(base, divisor, least_lines).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("spans"))
+    return _without(base, gone)
 
 
 def pair_rows(base: DataFrame) -> DataFrame:
@@ -161,25 +199,12 @@ def repeated_pairs(base: DataFrame) -> DataFrame:
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """docs, its text without the repeated runs of two lines or more; ``_n_lines``
     and ``_n_removed`` are added."""
-    base = common.numbered(docs)
+    base = _carried(docs)
     gone = repeated_pairs(base).groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("_at"))
     # pairs that follow one another are one run
     starts = F.filter("_at", lambda x, i: (i == 0) | (F.get("_at", i - 1) < x - 1))
     past = F.transform(F.filter("_at", lambda x, i: (i == F.size("_at") - 1) | (F.get("_at", i + 1) > x + 1)), lambda x: x + 2)
-    gone = gone.select(F.col("row").alias("_row"), starts.alias("_from"), past.alias("_past"))
-    joined = base.join(gone.hint("merge"), "_row", "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    joined = joined.withColumns(
-        {
-            "_n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
-            "_n_removed": F.coalesce(F.aggregate(F.arrays_zip("_from", "_past"), F.lit(0), lambda s, g: s + g["_past"] - g["_from"]), F.lit(0)).cast("bigint"),
-            "_lines": F.when(F.col("_from").isNotNull(), lines),
-        }
-    )
-    between = F.arrays_zip(F.concat(F.array(F.lit(0)), "_past").alias("a"), F.concat("_from", F.array(F.size("_lines"))).alias("b"))
-    stays = F.flatten(F.transform(between, lambda g: F.slice("_lines", g["a"] + 1, g["b"] - g["a"])))
-    text = F.when(F.col("_from").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    return joined.withColumn("text", text).drop("_row", "_from", "_past", "_lines")
+    return _without(base, gone.select("row", F.arrays_zip(starts.alias("at"), past.alias("to")).alias("spans")))
 
 
 #: ``dedup`` by DuckDB, on a table of unique ids.
