@@ -11,26 +11,29 @@ inside.
 
 1. Every window of ``size`` words chooses its anchor: of the symbols whose
    context lies inside it, and of those the highest-level ones, the one whose
-   name hashes least. Equal windows choose
-   the same anchor. Neighbouring windows mostly share one; such a run of windows
-   is one row: anchor name, hash of all the words it spans, place.
-2. Spark brings rows of one anchor name together. A name seen once ends there.
-   Rows of one name and equal words are a long repeat: all their words go, and
-   one of them, the first, speaks for all in the next step.
-3. The windows of that first row, and of rows whose words are met once but whose
-   anchor is shared, are compared by 128-bit hashes of all their words; those
+   name hashes least. Equal windows choose the same anchor. Neighbouring windows
+   mostly share one; such a run of windows is one row: anchor name, hash of all
+   the words it spans, place.
+2. A Spark round counts the anchor names of the whole corpus. A run whose name is
+   met once ends there. Where all runs of one name span equal words, all of them
+   are one long repeat: the words go, and nothing more need be compared.
+3. A Spark round counts the windows of the other runs, those whose name is shared
+   but whose surroundings differ, by 128-bit hashes of all their words; those
    found twice go.
 
-Within a batch equal rows are counted before they are shuffled (the spare ones
-are known to repeat), so a passage in a third of all documents sends a row a
-batch, not a row a document.
+Names are counted by grouped sums, which Spark combines before the shuffle, and
+met again in joins whose hot keys Spark may split. Equal windows of a task are
+counted before they are shuffled (the spare ones are known to repeat and travel by
+keys of their own), so a window of a passage in a third of all documents sends a
+row a task, not a row a document.
 
-Words are runs of other than ASCII white space, unchanged. Words are 64-bit
-hashes here, and windows 128 bits of two independent polynomials of them.
+Words are runs of other than ASCII white space, unchanged. A word has two
+independent 64-bit hashes; a window's 128 bits are one polynomial of each.
 
 Rows: a null text has no words. Rows that repeat or share an id are separate
 documents, so a repeated text of ``size`` words or more goes whole, both times.
-Texts under ``size`` words keep all. An empty table gives no rows. Only
+Texts under ``size`` words keep all. An empty table gives no rows. A very long
+text is worked on whole, in memory and time in proportion to its length. Only
 ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
@@ -63,15 +66,15 @@ def powers(base: int, n: int):
 
 
 class Stretches:
-    """Hashes of any stretch [a, b) of a word-hash array, in 2 x 64 bits."""
+    """Hashes of any stretch [a, b) of words, 64 bits for each array of word
+    hashes."""
 
-    def __init__(self, w):
+    def __init__(self, *hashes):
         import numpy as np
 
-        n = len(w)
+        n = len(hashes[0])
         self.sums, self.back = [], []
-        for k, base in enumerate(_BASES):
-            v = common.mix(w + np.uint64(k + 1))
+        for v, base in zip(hashes, _BASES, strict=False):
             total = np.zeros(n + 1, dtype=np.uint64)
             np.cumsum(v * powers(base, n), out=total[1:])
             self.sums.append(total)
@@ -81,7 +84,7 @@ class Stretches:
         return common.mix((self.sums[k][b] - self.sums[k][a]) * self.back[k][a])
 
 
-def levels(w, barrier, rounds: int = 4):
+def levels(w, barrier, rounds: int = 5):
     """Symbols by level: (name, start, context low, context high), in order.
 
     barrier marks slots between documents; they never merge.
@@ -146,7 +149,7 @@ def _least(value, first, end):
     return out
 
 
-def anchors(w, barrier, valid, size: int, rounds: int = 4):
+def anchors(w, barrier, valid, size: int, rounds: int = 5):
     """For each window start s in valid: (name, place) of its anchor."""
     import numpy as np
 
@@ -177,21 +180,21 @@ def anchors(w, barrier, valid, size: int, rounds: int = 4):
 
 def _batch(texts: list, size: int):
     """Concatenated word hashes of the texts with enough words, barriers around
-    each: (w, barrier, document index, offset of its first word)."""
+    each: (w, second hashes, barrier, document index, offset of its first word)."""
     import numpy as np
 
-    h, counts = common.hash_words(texts)
+    h, second, counts = common.hash_words(texts, twice=True)
     owners = np.flatnonzero(counts >= size)
-    if not len(owners):
-        return np.zeros(1, dtype=np.uint64), np.ones(1, dtype=bool), owners, owners
     own = counts[owners]
     at = 1 + np.cumsum(own + 1) - (own + 1)
     w = np.zeros(int((own + 1).sum()) + 1, dtype=np.uint64)
     barrier = np.zeros(len(w), dtype=bool)
     barrier[0] = True
     barrier[at + own] = True
-    w[~barrier] = h[np.repeat(counts >= size, counts)]
-    return w, barrier, owners, at
+    other = np.zeros_like(w)
+    here = np.repeat(counts >= size, counts)
+    w[~barrier], other[~barrier] = h[here], second[here]
+    return w, other, barrier, owners, at
 
 
 def _once(keys):
@@ -209,10 +212,10 @@ def _once(keys):
     return order[first], count, order[~new]
 
 
-RUNS = "key bigint, words bigint, row bigint, s1 int, s2 int, kind tinyint"
+RUNS = "key bigint, words bigint, row bigint, s1 int, s2 int"
 
 
-def _groups(batch, texts: list, most: int = 400_000):
+def _groups(texts: list, most: int = 400_000):
     """Slices of a batch's texts of at most about that many bytes x 8."""
     start = held = 0
     for i, t in enumerate(texts):
@@ -225,8 +228,7 @@ def _groups(batch, texts: list, most: int = 400_000):
 
 
 def window_runs(base: DataFrame, size: int) -> DataFrame:
-    """Step 1. kind 0: one row for each run of windows; 1: seen more than once
-    in its batch; 2: a spare one of those, known to repeat."""
+    """Step 1: RUNS, one row for each run of windows."""
     common.small_batches(base.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -235,8 +237,8 @@ def window_runs(base: DataFrame, size: int) -> DataFrame:
 
         for batch in batches:
             texts, rows = common.text_bytes(batch.column(1)), batch.column(0).to_numpy()
-            for a, b in _groups(batch, texts):
-                w, barrier, owners, at = _batch(texts[a:b], size)
+            for a, b in _groups(texts):
+                w, second, barrier, owners, at = _batch(texts[a:b], size)
                 if not len(owners):
                     continue
                 ends = np.append(at[1:], len(w)) - 1  # the barrier after each
@@ -249,38 +251,19 @@ def window_runs(base: DataFrame, size: int) -> DataFrame:
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(s)) - 1
                 s1, s2, own = s[first], s[last], doc[first]
-                key = name_of[s1]
-                stretch = Stretches(w)
-                span = common.mix(stretch.of(0, s1, s2 + size) ^ (stretch.of(1, s1, s2 + size) * np.uint64(7))) + (s2 - s1).astype(np.uint64)
-                one, count, spare = _once([key, span])
-                pick = np.concatenate([one, spare])
-                kind = np.concatenate([(count > 1).astype(np.int8), np.full(len(spare), 2, dtype=np.int8)])
-                out_key = key.copy()
-                out_key[spare] = common.mix(spare.astype(np.uint64) + key[spare])  # spread: they need no company
-                arrays = [
-                    out_key[pick].view(np.int64), span[pick].view(np.int64), rows[a:b][owners[own[pick]]],
-                    (s1 - at[own])[pick].astype(np.int32), (s2 - at[own])[pick].astype(np.int32), kind,
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "words", "row", "s1", "s2", "kind"])
+                span = Stretches(second).of(0, s1, s2 + size) + (s2 - s1).astype(np.uint64)
+                arrays = [name_of[s1].view(np.int64), span.view(np.int64), rows[a:b][owners[own]], (s1 - at[own]).astype(np.int32), (s2 - at[own]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "words", "row", "s1", "s2"])
 
     return base.select("_row", "text").mapInArrow(run, RUNS)
 
 
 def judged_runs(runs: DataFrame) -> DataFrame:
-    """Step 2: (row, s1, s2, covered, emit) of what goes or speaks further."""
-    by_key = Window.partitionBy("key")
-    by_words = Window.partitionBy("key", "words")
-    alone = F.col("kind") < 2
-    held = runs.select(
-        "*",
-        F.max("kind").over(by_key).alias("most"),
-        F.count(F.when(alone, 1)).over(by_key).alias("of_key"),
-        F.count(F.when(alone, 1)).over(by_words).alias("of_words"),
-        F.row_number().over(by_words.orderBy("row", "s1")).alias("nth"),
-    )
-    covered = (F.col("kind") > 0) | (F.col("of_words") > 1)
-    emit = alone & ((F.col("of_key") > 1) | (F.col("kind") == 1)) & (~covered | (F.col("nth") == 1))
-    return held.select("row", "s1", "s2", covered.alias("covered"), emit.alias("emit")).where("covered or emit")
+    """Step 2: (row, s1, s2, whole) of the runs whose name is shared; whole: all
+    runs of that name span the same words."""
+    names = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("words").alias("least"), F.max("words").alias("most")).where("n > 1")
+    names = common.stage_table(names.select("key", (F.col("least") == F.col("most")).alias("whole")), "names")
+    return runs.join(names.hint("merge"), "key").select("row", "s1", "s2", "whole")
 
 
 def _squeezed(base: DataFrame) -> DataFrame:
@@ -298,39 +281,46 @@ def _squeezed(base: DataFrame) -> DataFrame:
     return base.select("_row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, packed binary")
 
 
-def window_hashes(base: DataFrame, runs: DataFrame, size: int) -> DataFrame:
-    """Step 3: (w1, w2, row, s, known) of the windows of runs that emit; known:
-    one of several in its batch."""
-    wanted = runs.where("emit").groupBy("row").agg(F.collect_list(F.struct("s1", "s2")).alias("runs"))
-    texts = _squeezed(base).join(wanted, "row").select("row", "packed", F.col("runs.s1").alias("s1"), F.col("runs.s2").alias("s2"))
+def window_hashes(base: DataFrame, runs: DataFrame, size: int, hold: int = 1 << 20) -> DataFrame:
+    """Step 3: (w1, w2, row, s) of the windows of runs; s is its complement where
+    the window is one of several in its task. A task looks at about hold windows
+    together."""
+    wanted = runs.groupBy("row").agg(F.collect_list(F.struct("s1", "s2")).alias("runs"))
+    texts = _squeezed(base).join(wanted.hint("merge"), "row").select("row", "packed", F.col("runs.s1").alias("s1"), F.col("runs.s2").alias("s2"))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import zstandard
 
+        def told(out):
+            w1, w2, row, s = (np.concatenate(x) for x in out)
+            one, count, spare = _once([w1, w2])
+            s[one[count > 1]] = ~s[one[count > 1]]
+            s[spare] = ~s[spare]
+            # spare ones need no company: keys that differ from row to row
+            w1[spare] = common.mix(row[spare].astype(np.uint64) * np.uint64(_BASES[0]) + w1[spare] + s[spare].astype(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (w1.view(np.int64), w2.view(np.int64), row, s.astype(np.int32))], names=["w1", "w2", "row", "s"])
+
         press = zstandard.ZstdDecompressor()
+        out: list[list] = [[], [], [], []]
+        held = 0
         for batch in batches:
-            out: list[list] = [[], [], [], []]
             for row, packed, s1, s2 in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 s1, s2 = np.array(s1, dtype=np.int64), np.array(s2, dtype=np.int64)
                 n = s2 - s1 + 1
                 s = np.repeat(s1 - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                stretch = Stretches(common.hash_words([press.decompress(packed)])[0])
+                stretch = Stretches(*common.hash_words([press.decompress(packed)], twice=True)[:2])
                 for k, x in enumerate((stretch.of(0, s, s + size), stretch.of(1, s, s + size), np.full(len(s), row), s)):
                     out[k].append(x)
-            if not out[0]:
-                continue
-            w1, w2, row, s = (np.concatenate(x) for x in out)
-            one, count, spare = _once([w1, w2])
-            pick = np.concatenate([one, spare])
-            known = np.concatenate([count > 1, np.ones(len(spare), dtype=bool)])
-            w1 = w1.copy()
-            w1[spare] = common.mix(spare.astype(np.uint64) + w1[spare])
-            arrays = [w1[pick].view(np.int64), w2[pick].view(np.int64), row[pick], s[pick].astype(np.int32), known]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["w1", "w2", "row", "s", "known"])
+                held += len(s)
+                if held > hold:
+                    yield told(out)
+                    out, held = [[], [], [], []], 0
+        if held:
+            yield told(out)
 
-    return texts.mapInArrow(run, "w1 bigint, w2 bigint, row bigint, s int, known boolean")
+    return texts.mapInArrow(run, "w1 bigint, w2 bigint, row bigint, s int")
 
 
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
@@ -340,13 +330,18 @@ def dedup(docs: DataFrame, size: int = 35) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept (the kept words, joined
     by one space)."""
     base = common.numbered(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    runs = common.stage_table(judged_runs(window_runs(base, size)), "runs")
-    hashes = window_hashes(base, runs, size)
-    twice = hashes.withColumn("n", F.count("*").over(Window.partitionBy("w1", "w2"))).where("known or n > 1")
-    whole = runs.where("covered").select("row", "s1", "s2")
-    gone = common.stage_table(whole.unionByName(twice.select("row", F.col("s").alias("s1"), F.col("s").alias("s2"))), "gone")
+    found = common.stage_table(window_runs(base, size), "runs")
+    shared = common.stage_table(judged_runs(found), "shared")
+    common.drop_table(found)
+    hashes = window_hashes(base, shared.where("not whole"), size)
+    # a window has a row a task at most
+    twice = hashes.withColumn("n", F.count("*").over(Window.partitionBy("w1", "w2"))).where("s < 0 or n > 1")
+    place = F.when(F.col("s") < 0, F.bitwise_not("s")).otherwise(F.col("s"))
+    twice = twice.select("row", place.alias("s1"), place.alias("s2"))
+    gone = common.stage_table(shared.where("whole").select("row", "s1", "s2").unionByName(twice), "gone")
+    common.drop_table(shared)
     spans = gone.groupBy("row").agg(F.collect_list(F.struct("s1", "s2")).alias("gone"))
-    texts = _squeezed(base).join(spans, "row", "left")
+    texts = _squeezed(base).join(spans.hint("merge"), "row", "left")
     texts = texts.select("doc_id", "packed", F.col("gone.s1").alias("s1"), F.col("gone.s2").alias("s2"))
 
     def run(batches: Iterator) -> Iterator:
