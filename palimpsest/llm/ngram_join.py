@@ -4,12 +4,14 @@ Documents with the same set of n-grams (n = 5 words) form one node. Band and row
 counts are chosen for a target recall at the threshold. Nodes shuffle on band
 hashes; every node of a bucket links to the bucket's least node, which keeps
 candidates linear in the bucket's size. The components of these links are what
-is compared: a component is cut into chunks of about ``chunk_rows`` nodes, each
-pair of chunks is one group, and within a group all full n-gram sets are
-intersected at once. A group returns, for each node, the number of its links and
-the root of its own spanning forest, never the pairs. A bucket or component of
-any size is thus compared whole, in groups of bounded size, and no link between
-different texts is lost once a band has found its component.
+is compared. Sets whose sizes differ by more than the threshold can't link, so a
+component is first cut into size classes, each as wide as the threshold, and a
+class into chunks of about ``chunk_rows`` nodes or ``chunk_grams`` n-grams. Each
+pair of chunks of one class or of neighbouring classes is one group, and within a
+group all full n-gram sets are intersected at once. A group returns, for each node,
+the number of its links and the root of its own spanning forest, never the pairs. A
+bucket or component of any size is thus compared whole, in groups of bounded size,
+and no link between different texts is lost once a band has found its component.
 
 Words are runs of other than ASCII white space, with A-Z lower-cased. A document
 of 1 to n - 1 words has one n-gram: all its words. N-grams are compared by
@@ -18,7 +20,9 @@ of 1 to n - 1 words has one n-gram: all its words. N-grams are compared by
 Rows: a text without words, or null, links to nothing and is its own class. Rows
 that repeat or share an id are different documents and count as copies. An empty
 table gives no rows. A null id stays null; its class may be null where it has no
-other. Only ``doc_id`` and ``text`` are read, so other columns may have any name.
+other. A very long text is hashed in blocks of its n-grams; its set is held whole by
+the one worker that compares it. Only ``doc_id``, ``text`` and the row number that
+the caller names are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -148,7 +152,7 @@ def _verify(threshold: float):
         import numpy as np
         import pyarrow as pa
 
-        ci, cj = table.column("ci")[0].as_py(), table.column("cj")[0].as_py()
+        between = table.column("ci")[0].as_py() != table.column("cj")[0].as_py()
         node, chunk, copies = (table.column(c).to_numpy() for c in ("node", "chunk", "copies"))
         order = np.argsort(node)
         node, chunk, copies = node[order], chunk[order], copies[order]
@@ -158,7 +162,7 @@ def _verify(threshold: float):
         both = shared_counts(sets)
         linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
         np.fill_diagonal(linked, False)
-        if ci != cj:
+        if between:
             linked &= chunk[:, None] != chunk[None, :]
         links = linked @ copies
         root = np.arange(len(node))
@@ -176,19 +180,20 @@ def _verify(threshold: float):
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, chunk_rows: int = 128
-) -> DataFrame:
-    """One row per row of docs: row (its number, ``_row``, if docs comes from
-    ``common.numbered``),
+    docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, chunk_rows: int = 128, chunk_grams: int = 1 << 18, row: str | None = None,
+) -> DataFrame:
+    """One row per row of docs: row (its number: the column named so, if docs comes
+    from ``common.numbered``),
     doc_id, class_id (least doc_id of its class), is_first (one row of each
     class: the one of least doc_id, then row), n_links (documents at the threshold
     or above), n_copies (documents with the same n-gram set), n_grams."""
     bands, rows = choose_bands(threshold, recall)
-    if "_row" not in docs.columns:
-        docs = common.numbered(docs)
+    if row is None:
+        docs, row = common.numbered(docs.select("doc_id", "text")), "_row"
+    docs = docs.select(F.col(row).alias("_row"), "doc_id", "text")
     base = docs.select("_row", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = common.stage_table(signatures(base, n, bands, rows), "signatures")
-    nodes = sig.where("whole is not null").groupBy("whole").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
+    nodes = sig.where("whole is not null").groupBy("whole").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.first("n_grams").alias("grams"))
     nodes = common.stage_table(nodes, "nodes")
     firsts = sig.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node")
     keys = firsts.select("node", F.explode("bands").alias("key"))
@@ -199,13 +204,27 @@ def near_duplicates(
     candidates = keys.join(buckets, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = common.stage_table(connected_components(candidates), "groups")
 
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    # sizes within the threshold of each other are of one class or of neighbouring ones
+    step = F.floor(F.log(F.col("grams").cast("double")) / -math.log(threshold) + 1e-9).cast("int") if threshold < 1 else F.lit(0)
+    members = groups.join(nodes.select("node", "copies", "grams"), "node").withColumn("step", step)
+    wanted = F.greatest(F.ceil(F.count("*") / chunk_rows), F.least(F.count("*"), F.ceil(F.sum("grams") / chunk_grams)))
+    sizes = common.stage_table(members.groupBy("root", "step").agg(wanted.cast("int").alias("chunks")), "sizes")
+    for name, move in (("below", 1), ("above", -1)):
+        beside = sizes.select("root", (F.col("step") + move).alias("step"), F.col("chunks").alias(name))
+        sizes = beside.join(sizes, ["root", "step"], "right") if name == "below" else sizes.join(beside, ["root", "step"], "left")
     sizes = common.stage_table(sizes, "sizes")
-    members = groups.join(sizes, "root").join(nodes.select("node", "copies"), "node")
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    texts = base.select(F.col("_row").alias("node"), "text").join(members.hint("merge"), "node")
-    blocks = _sets(texts.select("root", "node", "copies", "chunk", "chunks", "text"), n)
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members = members.join(sizes, ["root", "step"])
+    part = lambda k, c: F.col("step").cast("bigint") * F.lit(1 << 32) + k * F.lit(1 << 32) + c
+
+    def parts(count: str, move: int):
+        each = F.transform(F.sequence(F.lit(1), F.col(count)), lambda i: part(F.lit(move), i))
+        return F.when(F.col(count) > 0, each).otherwise(F.array().cast("array<bigint>"))
+
+    others = F.concat(parts("below", -1), parts("chunks", 0), parts("above", 1))
+    members = members.withColumn("chunk", part(F.lit(0), F.pmod(F.xxhash64("node"), F.col("chunks")) + 1))
+    texts = base.select(F.col("_row").alias("node"), "text").join(members.select("node", "root", "copies", "chunk", others.alias("others")).hint("merge"), "node")
+    blocks = _sets(texts.select("root", "node", "copies", "chunk", "others", "text"), n)
+    blocks = blocks.withColumn("other", F.explode("others"))
     blocks = blocks.withColumns({"ci": F.least("chunk", "other"), "cj": F.greatest("chunk", "other")})
     blocks = blocks.select("root", "ci", "cj", "node", "copies", "chunk", "grams")
     verified = blocks.groupBy("root", "ci", "cj").applyInArrow(_verify(threshold), "node bigint, links bigint, root bigint")
