@@ -5,16 +5,21 @@ a separator id. ``count_tokens`` finds the documents again: a file is read in
 blocks of ``block_tokens``, a vectorised comparison finds the separators of each
 block, and an exclusive prefix scan over the blocks of a file (documents begun,
 last separator so far) stitches documents that straddle blocks. Blocks are read
-by range, so memory is bounded by a block whatever a file's size.
+by range, so memory is bounded by a block whatever a file's size. What the blocks
+hold is written; the scan sees three numbers a block, first summed over spans of
+``span_blocks`` blocks, so the one task of a file has a row a span, and meets the
+blocks again in a join.
 
 Files are written and read through ``pyarrow.fs``, which opens the shared folder
 by its URI; a shard is written under a temporary name and moved into place, so a
 task that runs again replaces its shard whole.
 
 Rows: a null text is empty: no tokens, one separator. Rows that repeat, share an
-id or have none are counted each by itself. Empty files give no rows; ids after
-the last separator give a row that is not ``terminated``. Only ``doc_id`` and
-``text`` are read, so other columns may have any name.
+id or have none are counted each by itself. An empty table, and empty files, give
+no rows; ids after the last separator give a row that is not ``terminated``. A very
+long text is one document over as many blocks as it takes. An id that the width
+can't hold is an error. Only ``doc_id`` and ``text`` are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -55,7 +60,10 @@ def write_token_files(docs: DataFrame, folder: str, separator: int = 50256, widt
         with store.open_output_stream(draft) as out:
             for batch in batches:
                 ids = enc.ids([t or "" for t in batch.column(1).to_pylist()])
-                out.write(np.concatenate([x for y in ids for x in (y.astype(end.dtype), end)] or [end[:0]]).tobytes())
+                flat = np.concatenate([x for y in ids for x in (y, end)] or [end[:0]])
+                if len(flat) and int(flat.max()) >> (8 * width):
+                    raise ValueError(f"token id {flat.max()} does not fit {width} bytes")
+                out.write(flat.astype(end.dtype).tobytes())
                 numbers = pa.array(range(n, n + batch.num_rows), pa.int64())
                 n += batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows), numbers, batch.column(0)], names=["file", "doc_number", "doc_id"])
@@ -65,7 +73,7 @@ def write_token_files(docs: DataFrame, folder: str, separator: int = 50256, widt
     return common.stage_table(chosen.mapInArrow(run, "file string, doc_number bigint, doc_id bigint"), "token-list")
 
 
-def count_tokens(spark: SparkSession, folder: str, separator: int = 50256, width: int = 2, block_tokens: int = 1 << 22) -> DataFrame:
+def count_tokens(spark: SparkSession, folder: str, separator: int = 50256, width: int = 2, block_tokens: int = 1 << 22, span_blocks: int = 1024) -> DataFrame:
     """Per document of the token files in folder: file, doc_number (from 0),
     start (its first id's place in the file), n_tokens, terminated."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -91,16 +99,22 @@ def count_tokens(spark: SparkSession, folder: str, separator: int = 50256, width
                 arrays = [pa.array([row[k]]) for k in ("file", "size", "at")] + [pa.array([ends], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["file", "size", "at", "ends"])
 
-    found = blocks.mapInArrow(run, "file string, size bigint, at bigint, ends array<bigint>")
-    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    scanned = found.select(
-        "*",
-        F.coalesce(F.sum(F.size("ends").cast("bigint")).over(before), F.lit(0)).alias("begun"),
-        F.coalesce(F.max(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1)).over(before), F.lit(-1)).alias("last_end"),
-    )
+    found = common.stage_table(blocks.mapInArrow(run, "file string, size bigint, at bigint, ends array<bigint>"), "separators")
+    last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
+    span = F.floor(F.col("at") / (block_tokens * span_blocks)).alias("span")
+    brief = found.select("file", "at", span, F.size("ends").cast("bigint").alias("count"), last.alias("last"))
+
+    def scan(rows: DataFrame, within: list[str], order: str) -> DataFrame:
+        before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select("*", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begun"), F.max("last").over(before).alias("last_end"))
+
+    spans = scan(brief.groupBy("file", "span").agg(F.sum("count").alias("count"), F.max("last").alias("last")), ["file"], "span")
+    within = scan(brief, ["file", "span"], "at").join(spans.select("file", "span", F.col("begun").alias("span_begun"), F.col("last_end").alias("span_end")), ["file", "span"])
+    places = within.select("file", "at", (F.col("begun") + F.col("span_begun")).alias("begun"), F.coalesce("last_end", "span_end", F.lit(-1)).alias("last_end"))
+    scanned = found.join(places, ["file", "at"])
     # ids after the last separator end, unterminated, where the file ends
     last_block = F.col("at") + block_tokens >= F.col("size")
-    final = F.coalesce(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1), F.col("last_end"))
+    final = F.coalesce(last, F.col("last_end"))
     scanned = scanned.withColumn("all_ends", F.when(last_block & (final < F.col("size") - 1), F.concat("ends", F.array("size"))).otherwise(F.col("ends")))
     each = scanned.select("file", "size", "begun", "last_end", "all_ends", F.posexplode("all_ends").alias("k", "end"))
     start = F.when(F.col("k") == 0, F.col("last_end")).otherwise(F.col("all_ends")[F.col("k") - 1]) + 1
