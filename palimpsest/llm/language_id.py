@@ -6,44 +6,51 @@ it has, none is left out), and a softmax of both states. A document's
 probabilities are the means over all its bytes.
 
 Training is backpropagation through time in numpy on the driver, on a bounded
-sample of labelled rows: at most ``sample_rows`` rows a language and in all
-``sample_rows`` x ``max_languages``, drawn by a hash of id and text, of each row
-``sample_bytes`` bytes from a place drawn by that hash. Prediction covers every
-byte of every text.
-
-Rows: a text that is null or without a letter gives ``und`` with score 0. If no
-row can be learned from, every text does. Rows that repeat or share an id are
-predicted each by itself; a null id counts as empty text for the split. An empty
-table gives no rows. Only ``doc_id``, ``text``, ``lang`` are read; lang only of
-rows that train.
+sample of labelled rows: every language has the same number at most, which is
+``sample_rows`` or as many as ``sample_total`` leaves each, drawn by a hash of id
+and text (rows alike in both count once), of each row ``sample_bytes`` bytes from a
+place drawn by that hash. No language is left out. Prediction covers every byte of
+every text.
+
+Rows: a text that is null or without a letter (a character of Unicode's letter
+categories) gives ``und`` with score 0. If no row can be learned from, every text
+does. Rows that repeat or share an id are predicted each by itself; a null id
+counts as empty text for the split. An empty table gives no rows. A long text is as
+many stretches, run side by side with others'. Only ``doc_id``, ``text``, ``lang``
+and the columns ``keep`` are read; lang only of rows that train.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, gru
 
-LETTER = re.compile(r"[^\W\d_]")
 SIZE = 8
 
 
-def training_sample(docs: DataFrame, trains: Column, sample_rows: int, sample_bytes: int, max_languages: int) -> list[tuple[bytes, str]]:
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
+def training_sample(docs: DataFrame, trains: Column, sample_rows: int, sample_bytes: int, sample_total: int) -> list[tuple[bytes, str]]:
     """(bytes, language) of at most so many rows of each language."""
     rows = docs.where(trains & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return []
+    most = max(1, min(sample_rows, sample_total // len(sizes)))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_rows / n))]), F.col("lang"))
+    # of what is drawn of a language, about twice as much as is kept, the least
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (2 * most + 64) / n))]), F.col("lang"))
     at = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - sample_bytes)).cast("int") + 1
     part = F.substring("text", at, F.lit(sample_bytes)).alias("part")
-    found = rows.where(drawn < share * (1 << 30)).select(drawn.alias("drawn"), part, "lang")
-    found = found.orderBy("drawn", "lang", "part").limit(sample_rows * len(sizes)).collect()
+    found = rows.where(drawn < share * (1 << 30)).select(drawn.alias("drawn"), part, "lang").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "part"))
+    found = sorted(found.withColumn("nth", nth).where(F.col("nth") <= most).collect(), key=lambda r: (r.drawn, r.lang, r.part))
     return [(r.part.encode()[:sample_bytes], r.lang) for r in found]
 
 
@@ -159,7 +166,7 @@ def byte_probabilities(p: dict, texts: list[bytes], stretch: int, lanes: int = 2
     return total
 
 
-def predict(docs: DataFrame, languages: list[str], params: dict, stretch: int = 128) -> DataFrame:
+def predict(docs: DataFrame, languages: list[str], params: dict, stretch: int = 1024) -> DataFrame:
     """docs with ``lang_pred`` and ``score``, by their column text."""
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -176,7 +183,7 @@ def predict(docs: DataFrame, languages: list[str], params: dict, stretch: int =
             texts = batch.column(at).to_pylist()
             pred: list = ["und"] * len(texts)
             score = [0.0] * len(texts)
-            wanted = [i for i, t in enumerate(texts) if names and t and LETTER.search(t)]
+            wanted = [i for i, t in enumerate(texts) if names and has_letter(t)]
             seen: dict[str, int] = {}
             for i in wanted:
                 seen.setdefault(texts[i], len(seen))
@@ -202,12 +209,19 @@ def predict(docs: DataFrame, languages: list[str], params: dict, stretch: int =
 
 
 def identify(
-    docs: DataFrame, folds: int = 5, held_fold: int = 0, sample_rows: int = 500, sample_bytes: int = 1024, max_languages: int = 64, keep: tuple[str, ...] = (),
+    docs: DataFrame, folds: int = 5, held_fold: int = 0, sample_rows: int = 500, sample_bytes: int = 1024, sample_total: int = 32_000, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row of docs: doc_id, held_out, lang_pred, score, and the columns keep."""
+    """Per row of docs: doc_id, held_out, lang_pred, score, chance (one in as many
+    languages as were learned), and the columns keep."""
     split = common.id_split("doc_id", folds)
-    sample = training_sample(docs.select("doc_id", "text", "lang"), split != held_fold, sample_rows, sample_bytes, max_languages)
+    sample = training_sample(docs.select("doc_id", "text", "lang"), split != held_fold, sample_rows, sample_bytes, sample_total)
     languages, params = train(sample)
+    chance = 1 / max(1, len(languages))
     columns = list(dict.fromkeys(["doc_id", "text", *keep]))
     found = predict(docs.select(*columns), languages, params)
-    return found.withColumn("held_out", split == held_fold)
+    return found.withColumns({"held_out": split == held_fold, "chance": F.lit(chance)})
+
+
+def margin(share: float) -> Column:
+    """The score that lies this share of the way from an even chance to certainty."""
+    return F.col("chance") + share * (1 - F.col("chance"))
