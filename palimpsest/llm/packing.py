@@ -13,7 +13,8 @@ no group grows with the input or with any key.
 
 Rows: a null text is empty and gives one piece of one id (the separator). Rows
 that repeat, share an id or have none are packed each by itself. An empty table
-gives no rows. Only ``doc_id`` and ``text`` are read, so other columns may have
+gives no rows. A very long text is cut into as many pieces as it takes; ties go to
+the earlier row and the earlier bin. Only ``doc_id`` and ``text`` are read, so other columns may have
 any name.
 """
 
@@ -145,7 +146,11 @@ def pack(
     return dealt.groupBy("_group").applyInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
 
 
+def staged_pieces(docs: DataFrame, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
+    """The pieces of whole documents as a written table, as ``pack`` needs them."""
+    return common.stage_table(pieces(docs, capacity, keep_ids=keep_ids), "pieces")
+
+
 def pack_documents(docs: DataFrame, capacity: int = 2048, keep_ids: bool = False, **limits) -> DataFrame:
     """Tokenise, cut and pack whole documents; one row a piece."""
-    cut_rows = common.stage_table(pieces(docs, capacity, keep_ids=keep_ids), "pieces")
-    return pack(cut_rows, capacity, **limits)
+    return pack(staged_pieces(docs, capacity, keep_ids), capacity, **limits)
