@@ -8,11 +8,12 @@ sequences ("lanes") run side by side.
 from __future__ import annotations
 
 
-def forward(x, u, h, keep=None, store: bool = False):
+def forward(x, u, h, keep=None, store: bool = False, halved: bool = False):
     """States of T steps for B lanes: x is T x B x 2H, h the state before.
 
-    keep (T x B, 0 or 1) clears a lane's state before a step. Returns
-    (states T x B x H, last state, what ``backward`` needs).
+    keep (T x B, 0 or 1) clears a lane's state before a step. halved: the gates'
+    half of x has been multiplied by 1/2. Returns (states T x B x H, last state,
+    what ``backward`` needs).
     """
     import numpy as np
 
@@ -21,15 +22,22 @@ def forward(x, u, h, keep=None, store: bool = False):
     u = u.astype(np.float32, copy=True)
     u[:, :size] *= 0.5  # sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
     out = np.empty((steps, lanes, size), dtype=np.float32)
-    a = np.empty((lanes, wide), dtype=np.float32)
-    saved = []
+    all_a = np.empty((steps if store else 1, lanes, wide), dtype=np.float32)
+    before = np.empty((steps, lanes, size), dtype=np.float32) if store else None
+    at, lane = np.nonzero(keep == 0) if keep is not None else (np.zeros(0, dtype=int),) * 2
+    cuts = np.searchsorted(at, np.arange(steps + 1)).tolist()
     for t in range(steps):
-        if keep is not None:
-            h = h * keep[t][:, None]
+        if cuts[t] < cuts[t + 1]:  # lanes that begin a sequence here
+            h = h.copy()
+            h[lane[cuts[t] : cuts[t + 1]]] = 0
+        a = all_a[t if store else 0]
         np.matmul(h, u, out=a)
         z, c = a[:, :size], a[:, size:]
-        z += 0.5 * x[t, :, :size]
-        c += x[t, :, size:]
+        if halved:
+            a += x[t]
+        else:
+            z += 0.5 * x[t, :, :size]
+            c += x[t, :, size:]
         np.tanh(a, out=a)
         z *= 0.5
         z += 0.5
@@ -38,9 +46,9 @@ def forward(x, u, h, keep=None, store: bool = False):
         new *= z
         new += h
         if store:
-            saved.append((h, a.copy()))
+            before[t] = h
         h = new
-    return out, h.copy(), saved
+    return out, h.copy(), (before, all_a)
 
 
 def backward(grad, u, saved, keep=None):
@@ -48,20 +56,25 @@ def backward(grad, u, saved, keep=None):
     import numpy as np
 
     steps, lanes, size = grad.shape
+    before, a = saved
+    z, c = a[..., :size], a[..., size:]
+    # what a unit's own error is multiplied by on its way to each input
     dx = np.empty((steps, lanes, 2 * size), dtype=np.float32)
-    du = np.zeros_like(u, dtype=np.float32)
+    stay = 1 - z
+    np.multiply((c - before) * z, stay, out=dx[..., :size])
+    np.multiply(1 - c * c, z, out=dx[..., size:])
+    back = np.ascontiguousarray(u.T, dtype=np.float32)
     dh = np.zeros((lanes, size), dtype=np.float32)
     for t in range(steps - 1, -1, -1):
-        before, a = saved[t]
-        z, c = a[:, :size], a[:, size:]
-        dh = dh + grad[t]
-        dx[t, :, :size] = dh * (c - before) * z * (1 - z)
-        dx[t, :, size:] = dh * z * (1 - c * c)
-        du += before.T @ dx[t]
-        dh = dh * (1 - z) + dx[t] @ u.T
+        dh += grad[t]
+        d = dx[t]
+        d[:, :size] *= dh
+        d[:, size:] *= dh
+        dh *= stay[t]
+        dh += d @ back
         if keep is not None:
             dh *= keep[t][:, None]
-    return dx, du
+    return dx, before.reshape(-1, size).T @ dx.reshape(-1, 2 * size)
 
 
 class Adam:

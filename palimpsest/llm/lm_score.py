@@ -173,26 +173,45 @@ def new_model(v: Vocabulary, size: int, seed: int = 9) -> dict:
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
-def log_probs(p: dict, v: Vocabulary, states, target, grads: bool = False):
+def _exp_sums(a):
+    """exp of the rows of a less a shift, in place; ln of each row's sum plus the
+    shift. One shift serves all rows unless a row vanishes by it."""
+    import numpy as np
+
+    shift = a.max()
+    if float(shift) - float(a.max(axis=1).min() if a.min() < shift - 60 else shift) > 60:
+        shift = a.max(axis=1, keepdims=True)
+    a -= shift
+    np.exp(a, out=a)
+    z = a @ np.ones(a.shape[1], dtype=a.dtype)
+    return z, np.log(z) + np.ravel(shift)
+
+
+def log_probs(p: dict, v: Vocabulary, states, target, grads: bool = False, block: int = 2048):
     """ln P(target | state) of each row; with grads also the gradients of minus
     their mean."""
     import numpy as np
 
     n = len(target)
-    rows = np.arange(n)
     cls = v.class_of[target]
-    a = states @ p["wc"] + p["bc"]
-    a -= a.max(axis=1, keepdims=True)
-    picked = a[rows, cls]
-    np.exp(a, out=a)
-    z = a.sum(axis=1)
-    out = picked - np.log(z)
+    out = np.empty(n, dtype=states.dtype)
     if grads:
-        a /= z[:, None]
-        a[rows, cls] -= 1
-        a /= n
-        g = {"wc": states.T @ a, "bc": a.sum(axis=0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-        back = a @ p["wc"].T
+        g = {"wc": 0, "bc": 0, "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
+        back = np.empty_like(states)
+    for k in range(0, n, block):  # blocks that stay in the cache
+        s, own = states[k : k + block], cls[k : k + block]
+        rows = np.arange(len(own))
+        a = s @ p["wc"]
+        a += p["bc"]
+        picked = a[rows, own]
+        z, logs = _exp_sums(a)
+        out[k : k + block] = picked - logs
+        if grads:
+            a /= (z * n)[:, None]
+            a[rows, own] -= 1 / n
+            g["wc"] += s.T @ a
+            g["bc"] += a.sum(axis=0)
+            back[k : k + block] = a @ p["wc"].T
     order = np.argsort(cls, kind="stable")
     cuts = np.searchsorted(cls[order], np.arange(len(v.bounds)))
     for c in range(len(v.bounds) - 1):
@@ -201,17 +220,15 @@ def log_probs(p: dict, v: Vocabulary, states, target, grads: bool = False):
         if not len(at) or hi - lo == 1:
             continue
         s = states[at]
-        b = s @ p["wo"][lo:hi].T + p["bo"][lo:hi]
-        b -= b.max(axis=1, keepdims=True)
+        b = s @ p["wo"][lo:hi].T
+        b += p["bo"][lo:hi]
         own = np.arange(len(at)), target[at] - lo
         picked = b[own]
-        np.exp(b, out=b)
-        z = b.sum(axis=1)
-        out[at] += picked - np.log(z)
+        z, logs = _exp_sums(b)
+        out[at] += picked - logs
         if grads:
-            b /= z[:, None]
-            b[own] -= 1
-            b /= n
+            b /= (z * n)[:, None]
+            b[own] -= 1 / n
             g["wo"][lo:hi] = b.T @ s
             g["bo"][lo:hi] = b.sum(axis=0)
             back[at] += b @ p["wo"][lo:hi]
@@ -272,6 +289,13 @@ class Lanes:
         return np.where(real, self.token[at], self.end), np.where(real, self.before[at], self.end), np.where(real, self.keep[at], np.float32(1)), np.where(real, self.doc[at], -1)
 
 
+def _inputs(p: dict):
+    """Input rows with the gates' half halved, as the recurrent layer wants them."""
+    x = p["x"].copy()
+    x[:, : x.shape[1] // 2] *= 0.5
+    return x
+
+
 def train_on(p: dict, v: Vocabulary, docs: list, opt, steps: int = 48, lanes: int = 256) -> int:
     """Truncated BPTT over every window of docs, the state carried from each to
     the next. Windows grow longer as lanes end, so that each holds about as many
@@ -284,7 +308,7 @@ def train_on(p: dict, v: Vocabulary, docs: list, opt, steps: int = 48, lanes: in
     while live := held.live(k):
         token, prev, kept, doc = held.window(k, min(steps * lanes // live, 20 * steps))
         real = doc.ravel() >= 0
-        states, h, saved = gru.forward(p["x"][prev], p["u"], h[:live], kept, store=True)
+        states, h, saved = gru.forward(_inputs(p)[prev], p["u"], h[:live], kept, store=True, halved=True)
         _, g, back = log_probs(p, v, states.reshape(-1, states.shape[2])[real], token.ravel()[real], grads=True)
         grad = np.zeros((len(real), states.shape[2]), dtype=np.float32)
         grad[real] = back
@@ -303,9 +327,12 @@ def score_batch(p: dict, v: Vocabulary, docs: list, steps: int = 64, lanes: int
     total = np.zeros(len(docs))
     held = Lanes(docs, lanes, v.end)
     h = np.zeros((len(held.lengths), p["u"].shape[0]), dtype=np.float32)
-    for k in range(0, int(held.lengths[0]), steps):
-        token, before, keep, doc = held.window(k, steps)
-        states, h, _ = gru.forward(p["x"][before], p["u"], h[: held.live(k)], keep)
+    x = _inputs(p)
+    k = 0
+    while live := held.live(k):
+        token, before, keep, doc = held.window(k, min(steps * lanes // live, 20 * steps))
+        k += len(token)
+        states, h, _ = gru.forward(x[before], p["u"], h[:live], keep, halved=True)
         at = doc.ravel()
         real = at >= 0
         got = log_probs(p, v, states.reshape(-1, states.shape[2])[real], token.ravel()[real])
@@ -392,7 +419,7 @@ def fit(docs: DataFrame, v: Vocabulary, size: int, rounds: int) -> dict:
 
 
 def score(
-    docs: DataFrame, folds: int = 7, held_fold: int = 2, vocabulary_size: int = 4096, classes: int = 64, size: int = 32,
+    docs: DataFrame, folds: int = 7, held_fold: int = 2, vocabulary_size: int = 4096, classes: int = 32, size: int = 32,
     hot_words: int = 1 << 20, rounds: int = 2,
 ) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens,
