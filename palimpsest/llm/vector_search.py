@@ -2,41 +2,48 @@
 
 A table hashes a unit vector to the signed axis nearest to its pseudo-rotation:
 three rounds of random signs and a fast Hadamard transform (dimensions are padded
-to a power of two). Every row is indexed: it keeps its bucket in each table.
-A query probes, in each table, the ``probes`` axes nearest to its own rotation;
-rows of any probed bucket are candidates, all of them, and are ranked by exact
-cosine in double precision.
-
-How many axes are probed is measured on the table itself: a sample of queries is
-compared exactly with a sample of rows, and ``probes`` becomes the least number by
-which the share ``recall`` of their nearest rows are candidates (``LEAST_PROBES``
-at least; all axes if need be). A sample's nearest rows are farther off than those
-of the whole table, so the number errs upwards. Queries that then have fewer than
-``k`` candidates, or fewer than ``least_share`` of all rows, are compared with all
-rows, in blocks as the others.
-
-Queries travel in blocks of about ``block`` vectors, each broadcast (a bounded
-size: block x dimension doubles) and run against all indexed rows where they lie;
-a task keeps each query's ``k`` best of its candidates, so a vector that many
-rows share sends k rows a task however many they are. No bucket is capped.
-
-Rows: vectors null, zero, or with null or non-finite components take no part, nor
-do those whose length is not ``dim`` (by default the most common length). Ties
-go to the smaller id, nulls last, then the row's number. Rows that repeat or
-share an id are different candidates; a query excludes only its own row. An
-empty table gives no rows. Only the id and vector columns are read.
+to a power of two). A bucket is one such axis, or the axes of several independent
+pseudo-rotations (``parts``), as many as keep the mean bucket at half of
+``group_rows`` rows or fewer. Every row is indexed: it lies in one bucket of each
+table. A query probes, in each table, the ``probes`` buckets nearest to its own
+rotations; rows of any probed bucket are candidates, all of them, and are ranked by
+exact cosine in double precision.
+
+Rows travel to (table, bucket), queries to each (table, bucket) that they probe, and
+meet there: only candidates are compared. A bucket of more than ``group_rows`` rows
+is dealt into as many cells, each visited by all of the bucket's queries; more than
+``group_queries`` queries likewise. So a hot bucket is compared whole, in cells of
+bounded size, and a cell returns each query's ``k`` best. No bucket is capped.
+
+How many buckets are probed is measured: a sample of queries is compared exactly
+with a sample of rows, and ``probes`` becomes the least number by which the share
+``recall`` of their nearest rows are candidates. A sample's nearest rows are farther
+off than those of the whole table, so the number errs upwards. If no number does,
+``parts`` is lowered; with one part all axes do. Queries that then have fewer than
+``k`` candidates, or fewer than ``least_share`` of what queries have in the mean, are
+compared with all rows, in broadcast blocks of ``block`` vectors (a bounded size).
+
+Rows: vectors null, zero, or with null or non-finite components take no part.
+Vectors of different lengths have no cosine: each length is a space of its own, with
+its own index, and a query's candidates are the rows of its length (``dim`` keeps
+one length only). Ties go to the smaller id, nulls last, then the row's number. Rows
+that repeat or share an id are different candidates; a query excludes only its own
+row. An empty table gives no rows. Only the id and vector columns are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from . import common
 
-LEAST_PROBES = 16
+#: Buckets of several parts that a query may probe in a table.
+MOST_PROBES = 4096
 
 
 def hadamard(x):
@@ -53,54 +60,66 @@ def hadamard(x):
 
 
 class CrossPolytope:
-    """``tables`` hash functions over vectors of dimension dim."""
+    """``tables`` hash functions of ``parts`` rotations over vectors of dimension
+    dim."""
 
-    def __init__(self, dim: int, tables: int, seed: int = 11):
+    def __init__(self, dim: int, tables: int, parts: int = 1, seed: int = 11):
         import numpy as np
 
         self.width = 1 << max(0, (dim - 1).bit_length())
-        self.dim, self.tables = dim, tables
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.width))
+        self.dim, self.tables, self.parts = dim, tables, parts
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, parts, 3, self.width))
 
-    def axes(self, x, table: int):
+    def axes(self, x, table: int, part: int):
         """Closeness of each row to each signed axis: + axes, then - axes."""
         import numpy as np
 
         y = np.zeros((len(x), self.width))
         y[:, : self.dim] = x
-        for s in self.signs[table]:
+        for s in self.signs[table, part]:
             y = hadamard(y * s)
         return np.concatenate([y, -y], axis=1)
 
     def buckets(self, x):
+        """Bucket of each row in each table."""
         import numpy as np
 
-        return np.stack([self.axes(x, t).argmax(axis=1) for t in range(self.tables)], axis=1).astype(np.int32)
+        out = np.zeros((len(x), self.tables), dtype=np.int64)
+        for t in range(self.tables):
+            for part in range(self.parts):
+                out[:, t] = out[:, t] * (2 * self.width) + self.axes(x, t, part).argmax(axis=1)
+        return out
 
-    def ranks(self, x, buckets):
-        """rank[query, row]: how many axes of the query are nearer than the row's
-        bucket, in the table where they are fewest."""
+    def order(self, x, table: int, count: int):
+        """The count buckets of a table nearest to each row, nearest first: those
+        of least sum of squared distances behind the nearest axes."""
         import numpy as np
 
-        least = np.full((len(x), len(buckets)), 2 * self.width)
-        for t in range(self.tables):
-            near = np.argsort(-self.axes(x, t), axis=1, kind="stable")
-            place = np.empty_like(near)
-            np.put_along_axis(place, near, np.arange(near.shape[1])[None, :], axis=1)
-            np.minimum(least, place[:, buckets[:, t]], out=least)
-        return least
-
-    def probes(self, x, count: int):
-        """probed[table][query, bucket]"""
+        bucket, behind = np.zeros((len(x), 1), dtype=np.int64), np.zeros((len(x), 1))
+        for part in range(self.parts):
+            close = self.axes(x, table, part)
+            near = np.argsort(-close, axis=1, kind="stable")[:, :count]
+            close = np.take_along_axis(close, near, axis=1)
+            lag = (close[:, :1] - close) ** 2
+            bucket = (bucket[:, :, None] * (2 * self.width) + near[:, None, :]).reshape(len(x), -1)
+            behind = (behind[:, :, None] + lag[:, None, :]).reshape(len(x), -1)
+            first = np.argsort(behind, axis=1, kind="stable")[:, :count]
+            bucket, behind = np.take_along_axis(bucket, first, axis=1), np.take_along_axis(behind, first, axis=1)
+        return bucket
+
+    def ranks(self, x, wanted, count: int):
+        """How many buckets x must probe, in the table where they are fewest, until
+        wanted (its rows' buckets: queries x rows x tables) is found; count + 1
+        where count don't do."""
         import numpy as np
 
-        out = []
+        least = np.full(wanted.shape[:2], count + 1)
         for t in range(self.tables):
-            near = np.argsort(-self.axes(x, t), axis=1, kind="stable")[:, :count]
-            hit = np.zeros((len(x), 2 * self.width), dtype=bool)
-            np.put_along_axis(hit, near, True, axis=1)
-            out.append(hit)
-        return out
+            near = self.order(x, t, count)
+            for j in range(wanted.shape[1]):
+                hit = near == wanted[:, j, t][:, None]
+                np.minimum(least[:, j], np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, count + 1), out=least[:, j])
+        return least
 
 
 def unit(x):
@@ -118,149 +137,205 @@ def _matrix(column, dim: int):
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def valid_vectors(table: DataFrame, id_col: str, vector_col: str, dim: int | None) -> tuple[DataFrame, int]:
-    """(rows that take part as row, id, v; their dimension)."""
-    rows = common.numbered(table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")), "row")
-    big = float("inf")
-    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(big))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(F.col("v").isNotNull() & F.coalesce(good, F.lit(False)))
-    if dim is None:
-        common_size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-        dim = common_size["n"] if common_size else 0
-    return rows.where(F.size("v") == dim), dim
+def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Rows that take part: row, id, v (floats if the column has floats)."""
+    kind = table.schema[vector_col].dataType
+    element = "float" if getattr(kind, "elementType", None) == FloatType() else "double"
+    rows = common.numbered(table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("v")), "row")
+    big = F.lit(float("inf"))
+    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists("v", lambda x: x != 0)
+    return rows.where(F.col("v").isNotNull() & F.coalesce(good, F.lit(False)))
 
 
-def build_index(rows: DataFrame, dim: int, tables: int) -> DataFrame:
+def build_index(rows: DataFrame, dim: int, tables: int, parts: int) -> DataFrame:
     """rows with ``buckets``: one bucket a table, written to the shared folder."""
     common.small_batches(rows.sparkSession, 4096)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashing = CrossPolytope(dim, tables)
+        hashing = CrossPolytope(dim, tables, parts)
         for batch in batches:
             found = hashing.buckets(unit(_matrix(batch.column(2), dim)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int32()))], names=["row", "id", "v", "buckets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int64()))], names=["row", "id", "v", "buckets"])
 
-    return common.stage_table(rows.select("row", "id", "v").mapInArrow(run, "row bigint, id bigint, v array<double>, buckets array<int>"), "index")
+    kind = rows.schema["v"].dataType.simpleString()
+    return common.stage_table(rows.select("row", "id", "v").mapInArrow(run, f"row bigint, id bigint, v {kind}, buckets array<bigint>"), "index")
 
 
-def enough_probes(index: DataFrame, queries: DataFrame, dim: int, tables: int, k: int, recall: float, n: int, n_queries: int) -> int:
-    """The least probes that find the share recall of the k nearest of a sample."""
+def choose(rows: DataFrame, queries: DataFrame, n: int, n_queries: int, dim: int, tables: int, k: int, recall: float, group_rows: int) -> tuple[int, int]:
+    """(parts, probes): the most parts that the table's size asks for by which some
+    number of probes finds the share recall of the k nearest of a sample, and the
+    least such number."""
     import numpy as np
 
-    def sample(rows: DataFrame, count: int, size: int):
-        part = rows.where(F.pmod(F.xxhash64("row"), F.lit(max(1, count // size))) == 0)
-        got = part.select("row", "v", "buckets").toArrow().combine_chunks()
-        return got.column("row").to_numpy(), _matrix(got.column("v").combine_chunks(), dim), _matrix_int(got.column("buckets").combine_chunks(), tables)
+    def sample(part: DataFrame, count: int, size: int):
+        got = part.where(F.pmod(F.xxhash64("row"), F.lit(max(1, count // size))) == 0).select("row", "v").toArrow().combine_chunks()
+        return got.column("row").to_numpy(), _matrix(got.column("v").combine_chunks(), dim)
 
     width = 2 * CrossPolytope(dim, 1).width
-    own, q, _ = sample(queries, n_queries, 256)
-    rows, v, buckets = sample(index, n, max(1, min(4096, (1 << 22) // dim)))
+    parts = max(1, math.ceil(math.log(max(1.0, 2 * n / group_rows)) / math.log(width)))
+    own, q = sample(queries, n_queries, 256)
+    at, v = sample(rows, n, max(1, min(4096, (1 << 22) // dim)))
     if not len(q) or len(v) <= k:
-        return min(LEAST_PROBES, width)
-    q = unit(q)
-    score = np.where(own[:, None] != rows[None, :], q @ unit(v).T, -np.inf)
+        return 1, width
+    q, v = unit(q), unit(v)
+    score = np.where(own[:, None] != at[None, :], q @ v.T, -np.inf)
     nearest_k = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    needed = np.sort(np.take_along_axis(CrossPolytope(dim, tables).ranks(q, buckets), nearest_k, axis=1).ravel()) + 1
-    return min(width, max(LEAST_PROBES, int(needed[int(np.ceil(recall * len(needed))) - 1])))
+    for count in range(parts, 0, -1):
+        hashing = CrossPolytope(dim, tables, count)
+        most = min(width**count, MOST_PROBES) if count > 1 else width
+        needed = np.sort(hashing.ranks(q, hashing.buckets(v)[nearest_k], most).ravel())
+        probes = int(needed[int(np.ceil(recall * len(needed))) - 1])
+        if probes <= most:
+            return count, probes
+    return 1, width
+
+
+#: Best rows of a query within a cell; seen stands in one of them.
+FOUND = "query_row bigint, query_id bigint, row bigint, id bigint, score double, seen bigint"
+
+
+def _best(own, qid, q, rows, ids, v, k: int, pairs: int = 1 << 17):
+    """Each query's k best of the rows, its own left out: an Arrow table FOUND."""
+    import numpy as np
+    import pyarrow as pa
+
+    rough = q @ v.T
+    rough[own[:, None] == rows[None, :]] = -np.inf
+    seen = np.isfinite(rough).sum(axis=1)
+    if k < len(rows):
+        floor = np.partition(rough, len(rows) - k, axis=1)[:, len(rows) - k]
+        rough[rough < (np.where(np.isfinite(floor), floor, -1e300) - 1e-9)[:, None]] = -np.inf
+    a, b = np.nonzero(np.isfinite(rough))
+    # pair by pair, so equal vectors have equal scores wherever they lie
+    exact = np.concatenate([(q[a[i : i + pairs]] * v[b[i : i + pairs]]).sum(axis=1) for i in range(0, len(a), pairs)] or [np.zeros(0)])
+    none = np.array([x is None for x in ids], dtype=bool)
+    number = np.array([0 if x is None else x for x in ids], dtype=np.int64)
+    order = np.lexsort((rows[b], number[b], none[b], -exact, a))
+    a, b, exact = a[order], b[order], exact[order]
+    nth = np.arange(len(a)) - np.searchsorted(a, a)
+    a, b, exact, nth = (x[nth < k] for x in (a, b, exact, nth))
+    return pa.table(
+        [pa.array(own[a], pa.int64()), pa.array([qid[i] for i in a], pa.int64()), pa.array(rows[b], pa.int64()), pa.array([ids[i] for i in b], pa.int64()), pa.array(exact), pa.array(np.where(nth == 0, seen[a], 0), pa.int64())],
+        names=["query_row", "query_id", "row", "id", "score", "seen"],
+    )
+
+
+def probed(queries: DataFrame, dim: int, tables: int, parts: int, probes: int) -> DataFrame:
+    """(table, bucket, row, id, v) of every bucket that a query probes."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        hashing = CrossPolytope(dim, tables, parts)
+        for batch in batches:
+            q = unit(_matrix(batch.column(2), dim)) if batch.num_rows else None
+            for t in range(tables if batch.num_rows else 0):
+                near = hashing.order(q, t, probes)
+                at = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
+                columns = [pa.array(np.full(near.size, t), pa.int32()), pa.array(near.ravel()), *(c.take(at) for c in batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=["table", "bucket", "row", "id", "v"])
+
+    kind = queries.schema["v"].dataType.simpleString()
+    return queries.select("row", "id", "v").mapInArrow(run, f"table int, bucket bigint, row bigint, id bigint, v {kind}")
+
+
+def search(index: DataFrame, queries: DataFrame, dim: int, tables: int, parts: int, probes: int, k: int, group_rows: int, group_queries: int) -> DataFrame:
+    """FOUND of every cell of every probed bucket, written."""
+    rows = index.select(F.posexplode("buckets").alias("table", "bucket"), "row", "id", "v")
+    asked = common.stage_table(probed(queries, dim, tables, parts, probes), "probes")
+    # cells of the buckets that need more than one
+    sizes = index.select(F.posexplode("buckets").alias("table", "bucket")).groupBy("table", "bucket").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("across"))
+    visits = asked.groupBy("table", "bucket").agg(F.ceil(F.count("*") / group_queries).cast("int").alias("down"))
+    hot = common.stage_table(visits.join(sizes, ["table", "bucket"]).where("across > 1 or down > 1"), "cells")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        side = side.join(hot, ["table", "bucket"], "left")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)).alias(f"{other}_cell")
+        mine = F.pmod(F.xxhash64("row"), F.coalesce(F.col(own), F.lit(1))).cast("int").alias(f"{own}_cell")
+        return side.select("table", "bucket", mine, every, "row", "id", "v")
+
+    cell = ["table", "bucket", "across_cell", "down_cell"]
+
+    def meet(left, right):
+        import pyarrow as pa
+
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(("query_row", "query_id", "row", "id", "score", "seen"), [pa.int64()] * 4 + [pa.float64(), pa.int64()], strict=True)})
+        q, v = (unit(_matrix(side.column("v").combine_chunks(), dim)) for side in (left, right))
+        return _best(left.column("row").to_numpy(), left.column("id").to_pylist(), q, right.column("row").to_numpy(), right.column("id").to_pylist(), v, k)
 
+    visiting, lying = dealt(asked, "down", "across"), dealt(rows, "across", "down")
+    return common.stage_table(visiting.groupBy(*cell).cogroup(lying.groupBy(*cell)).applyInArrow(meet, FOUND), "found")
 
-def search(index: DataFrame, queries: DataFrame, dim: int, tables: int, probes: int | None, k: int, block: int) -> DataFrame:
-    """(query_row, query_id, row, id, score, seen): each query's best k of a task,
-    the first of them with the number of the task's candidates. All rows are
-    candidates if probes is None."""
-    spark = index.sparkSession
+
+def search_all(index: DataFrame, queries: DataFrame, dim: int, k: int, block: int) -> DataFrame:
+    """FOUND of every query among all rows, by blocks of queries, each broadcast."""
     count = queries.count()
     parts = max(1, -(-count // block))
     out = None
     for p in range(parts):
         part = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == p)
-        shared = spark.sparkContext.broadcast([(r.row, r.id, list(r.v)) for r in part.select("row", "id", "v").collect()])
-        found = common.stage_table(_search_block(index, shared, dim, tables, probes, k), "found")
+        shared = index.sparkSession.sparkContext.broadcast([(r.row, r.id, list(r.v)) for r in part.select("row", "id", "v").collect()])
+        found = common.stage_table(_search_block(index, shared, dim, k), "found")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search_block(index: DataFrame, shared, dim: int, tables: int, probes: int | None, k: int) -> DataFrame:
+def _search_block(index: DataFrame, shared, dim: int, k: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         asked = shared.value
         if not asked:
             return
-        own = np.array([a[0] for a in asked])
+        own, qid = np.array([a[0] for a in asked]), [a[1] for a in asked]
         q = unit(np.array([a[2] for a in asked], dtype=np.float64).reshape(-1, dim))
-        probed = CrossPolytope(dim, tables).probes(q, probes) if probes is not None else None
-        held: list = [None] * len(asked)  # (scores, ids, rows)
-        seen = np.zeros(len(asked), dtype=np.int64)
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            ids = np.array(batch.column(1).to_pylist(), dtype=object)
-            v = unit(_matrix(batch.column(2), dim))
-            near = own[:, None] != rows[None, :]
-            if probed is not None:
-                bucket = _matrix_int(batch.column(3), tables)
-                hit = probed[0][:, bucket[:, 0]]
-                for t in range(1, tables):
-                    hit |= probed[t][:, bucket[:, t]]
-                near &= hit
-            seen += near.sum(axis=1)
-            rough = np.where(near, q @ v.T, -np.inf)
-            for i in range(len(asked)):
-                line = rough[i]
-                if k < len(line):
-                    floor = np.partition(line, -k)[-k]
-                    at = np.flatnonzero((line >= floor - 1e-9) & near[i])
-                else:
-                    at = np.flatnonzero(near[i])
-                if not len(at):
-                    continue
-                # row by row, so equal vectors have equal scores wherever they lie
-                exact = (v[at] * q[i]).sum(axis=1)
-                new = (exact, ids[at], rows[at])
-                if held[i] is not None:
-                    new = tuple(np.concatenate(x) for x in zip(held[i], new, strict=True))
-                order = sorted(range(len(new[0])), key=lambda j: (-new[0][j], new[1][j] is None, new[1][j] or 0, new[2][j]))[:k] if len(new[0]) > k else range(len(new[0]))
-                held[i] = tuple(x[list(order)] for x in new)
-        out: list[list] = [[], [], [], [], [], []]
-        for (row, qid, _), h, n in zip(asked, held, seen.tolist(), strict=True):
-            for j, (score, rid, r) in enumerate(zip(*h, strict=True) if h is not None else ()):
-                for column, x in zip(out, (row, qid, int(r), rid, float(score), 0 if j else n), strict=True):
-                    column.append(x)
-        kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["query_row", "query_id", "row", "id", "score", "seen"])
-
-    return index.mapInArrow(run, "query_row bigint, query_id bigint, row bigint, id bigint, score double, seen bigint")
-
-
-def _matrix_int(column, width: int):
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            if batch.num_rows:
+                yield from _best(own, qid, q, batch.column(0).to_numpy(), batch.column(1).to_pylist(), unit(_matrix(batch.column(2), dim)), k).to_batches()
+
+    return index.select("row", "id", "v").mapInArrow(run, FOUND)
+
+
+def ranked(found: DataFrame, k: int, copies: int) -> DataFrame:
+    """query_row, query_id, rank, id, score: the k best of what was found, where a
+    row may have been found copies times."""
+    order = [F.desc("score"), F.asc_nulls_last("id"), F.asc("row")]
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy(*order))
+    best = found.withColumn("rank", place).where(F.col("rank") <= k * copies)
+    best = best.groupBy("query_row", "row").agg(F.first("query_id").alias("query_id"), F.first("id").alias("id"), F.first("score").alias("score"))
+    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "id", "score")
 
 
 def nearest(
     table: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-    tables: int = 10, probes: int | None = None, block: int = 2048, dim: int | None = None,
-    recall: float = 0.995, least_share: float = 0.01,
+    tables: int = 4, probes: int | None = None, block: int = 2048, dim: int | None = None,
+    recall: float = 0.99, least_share: float = 0.1, group_rows: int = 4096, group_queries: int = 2048,
 ) -> DataFrame:
     """query_id, rank (from 1), id, score: the k nearest found of every row for
     which the condition is_query (a Column over ``id``) holds. probes None: as
     many as the measured recall needs."""
-    rows, dim = valid_vectors(table, id_col, vector_col, dim)
-    dim = max(dim, 1)
-    index = build_index(rows, dim, tables)
-    queries = index.where(is_query)
-    n, n_queries = index.count(), queries.count()
-    if probes is None:
-        probes = enough_probes(index, queries, dim, tables, k, recall, n, n_queries)
-    found = search(index, queries, dim, tables, probes, k, block)
-    enough = found.groupBy("query_row").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"))
-    enough = enough.where((F.col("n") >= k) & (F.col("seen") >= F.lit(least_share * n))).select(F.col("query_row").alias("row"))
-    short = common.stage_table(queries.join(enough, "row", "left_anti").select("row", "id", "v"), "short")
-    if not short.isEmpty():
-        found = found.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti")
-        found = found.unionByName(search(index, short, dim, tables, None, k, block))
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "score")
+    valid = valid_vectors(table, id_col, vector_col)
+    sizes = valid.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.count(F.when(is_query, 1)).alias("queries")).collect()
+    out = None
+    for n, count, asking in sorted(tuple(r) for r in sizes if dim in (None, r.n) and r.queries):
+        rows = valid.where(F.size("v") == n)
+        parts, enough = choose(rows, rows.where(is_query), count, asking, n, tables, k, recall, group_rows)
+        index = build_index(rows, n, tables, parts)
+        queries = index.where(is_query)
+        found = search(index, queries, n, tables, parts, enough if probes is None else probes, k, group_rows, group_queries)
+        best = common.stage_table(ranked(found, k, tables), "best")
+        seen = found.groupBy("query_row").agg(F.sum("seen").alias("seen"))
+        mean = (seen.agg(F.sum("seen")).first()[0] or 0) / asking
+        served = best.groupBy("query_row").count().join(seen, "query_row")
+        served = served.where((F.col("count") >= k) & (F.col("seen") >= F.lit(least_share * mean))).select("query_row")
+        short = common.stage_table(queries.join(served, queries.row == served.query_row, "left_anti").select("row", "id", "v"), "short")
+        if not short.isEmpty():
+            best = best.join(served, "query_row", "left_semi").unionByName(ranked(search_all(index, short, n, k, block), k, 1))
+        out = best if out is None else out.unionByName(best)
+    if out is None:
+        return table.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, score double")
+    return out.select("query_id", "rank", "id", "score")
