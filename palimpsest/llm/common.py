@@ -126,8 +126,8 @@ _HELD: dict = {}
 
 
 def _tables(n: int):
-    """Random values of the 256 bytes, white space, powers of an odd base and
-    their inverses, for at least n places."""
+    """Random values of the 256 bytes, powers of an odd base and their inverses,
+    for at least n places."""
     import numpy as np
 
     if len(_HELD.get("up", ())) < n:
@@ -139,48 +139,94 @@ def _tables(n: int):
         _HELD["value"] = np.random.default_rng(2024).integers(0, 2**64, 256, dtype=np.uint64)
         _HELD["second"] = np.random.default_rng(4202).integers(0, 2**64, 256, dtype=np.uint64)
         _HELD["space"] = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-    return _HELD["value"], _HELD["space"], _HELD["up"], _HELD["down"]
+        _HELD["sign"] = ~np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
+    return _HELD["value"], _HELD["up"], _HELD["down"]
 
 
-def hash_words(texts: list, lower: bool = False, group: int = 1 << 19, twice: bool = False):
-    """64-bit hashes of the words (runs of other than ASCII white space) of all
-    texts, one after another, and the number of words of each text; with twice a
-    second, independent hash of each word stands between them.
-
-    A word's hash is a polynomial of random values of its bytes, taken from
-    running sums over the text, so no word is ever handled by itself."""
+def _words(parts: list, lower: bool, gaps: str, twice: bool):
+    """Words of a group of texts: (lower-cased bytes, first and past byte of each
+    word, hashes, second hashes or None, words of each text)."""
     import numpy as np
 
-    hashes, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-    others = [np.zeros(0, dtype=np.uint64)]
+    data = b"\n".join(parts) + b"\n"
+    data = np.frombuffer(data.lower() if lower else data, dtype=np.uint8)
+    value, up, down = _tables(len(data))
+    gap = _HELD[gaps][data]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if not gap[0]:
+        edge = np.concatenate([[0], edge])
+    first, past = edge[::2], edge[1::2]  # the last byte is a gap
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(value[data] * up[: len(data)], out=total[1:])
+    h = mix((total[past] - total[first]) * down[first] + (past - first).astype(np.uint64) * np.uint64(_BASE))
+    second = None
+    if twice:
+        np.cumsum(_HELD["second"][data] * up[: len(data)], out=total[1:])
+        second = mix((total[past] - total[first]) * down[first] + np.uint64(0xC2B2AE3D27D4EB4F))
+    bounds = np.cumsum([len(p) + 1 for p in parts])
+    return data, first, past, h, second, np.diff(np.searchsorted(first, bounds), prepend=0)
+
+
+def word_groups(texts: list, lower: bool = False, group: int = 1 << 19, gaps: str = "space", twice: bool = False):
+    """(index of the first text, what ``_words`` gives) of groups of about group
+    bytes, whole texts each."""
     at = 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size < group):
             size += len(texts[end] or b"") + 1
             end += 1
-        parts = [t or b"" for t in texts[at:end]]
-        data = b"\n".join(parts) + b"\n"
-        data = np.frombuffer(data.lower() if lower else data, dtype=np.uint8)
-        value, space, up, down = _tables(len(data))
-        gap = space[data]
-        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-        if not gap[0]:
-            edge = np.concatenate([[0], edge])
-        first, past = edge[::2], edge[1::2]  # the last byte is a gap
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(value[data] * up[: len(data)], out=total[1:])
-        h = (total[past] - total[first]) * down[first]
-        hashes.append(mix(h + (past - first).astype(np.uint64) * np.uint64(_BASE)))
-        if twice:
-            np.cumsum(_HELD["second"][data] * up[: len(data)], out=total[1:])
-            others.append(mix((total[past] - total[first]) * down[first] + np.uint64(0xC2B2AE3D27D4EB4F)))
-        bounds = np.cumsum([len(p) + 1 for p in parts])
-        counts.append(np.diff(np.searchsorted(first, bounds), prepend=0))
+        yield at, _words([t or b"" for t in texts[at:end]], lower, gaps, twice)
         at = end
+
+
+def hash_words(texts: list, lower: bool = False, group: int = 1 << 19, twice: bool = False):
+    """64-bit hashes of the words (runs of other than ASCII white space) of all
+    texts, one after another, and the number of words of each text; with twice a
+    second, independent hash of each word stands between them.
+
+    A word's hash is a polynomial of random values of its bytes, taken from
+    running sums over the text, so no word is ever handled by itself."""
+    import numpy as np
+
+    found = [w for _, w in word_groups(texts, lower, group, twice=twice)]
+    hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *(w[3] for w in found)])
+    counts = np.concatenate([np.zeros(0, dtype=np.int64), *(w[5] for w in found)])
     if twice:
-        return np.concatenate(hashes), np.concatenate(others), np.concatenate(counts)
-    return np.concatenate(hashes), np.concatenate(counts)
+        return hashes, np.concatenate([np.zeros(0, dtype=np.uint64), *(w[4] for w in found)]), counts
+    return hashes, counts
+
+
+def powers(base: int, n: int):
+    import numpy as np
+
+    out = np.ones(n, dtype=np.uint64)
+    if n > 1:
+        out[1:] = base
+        np.multiply.accumulate(out, out=out)
+    return out
+
+
+class Stretches:
+    """Hashes of any stretch [a, b) of words, 64 bits for each array of word
+    hashes."""
+
+    #: Fixed odd multipliers of the two polynomials.
+    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, *hashes):
+        import numpy as np
+
+        n = len(hashes[0])
+        self.sums, self.back = [], []
+        for v, base in zip(hashes, self.BASES, strict=False):
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(v * powers(base, n), out=total[1:])
+            self.sums.append(total)
+            self.back.append(powers(pow(base, -1, 2**64), n + 1))
+
+    def of(self, k: int, a, b):
+        return mix((self.sums[k][b] - self.sums[k][a]) * self.back[k][a])
 
 
 def mix(x):

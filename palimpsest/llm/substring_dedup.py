@@ -46,44 +46,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Fixed odd multipliers of the two polynomials.
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
 #: Runs are named in every so many rounds; a repeated symbol never pairs with
 #: itself, so other rounds leave runs as they are.
 RUNS_EVERY = 5
 
 
-def powers(base: int, n: int):
-    import numpy as np
-
-    out = np.ones(n, dtype=np.uint64)
-    if n > 1:
-        out[1:] = base
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-class Stretches:
-    """Hashes of any stretch [a, b) of words, 64 bits for each array of word
-    hashes."""
-
-    def __init__(self, *hashes):
-        import numpy as np
-
-        n = len(hashes[0])
-        self.sums, self.back = [], []
-        for v, base in zip(hashes, _BASES, strict=False):
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(v * powers(base, n), out=total[1:])
-            self.sums.append(total)
-            self.back.append(powers(pow(base, -1, 2**64), n + 1))
-
-    def of(self, k: int, a, b):
-        return common.mix((self.sums[k][b] - self.sums[k][a]) * self.back[k][a])
-
-
 def levels(w, barrier, rounds: int = 5):
     """Symbols by level: (name, start, context low, context high), in order.
 
@@ -251,7 +218,7 @@ def window_runs(base: DataFrame, size: int) -> DataFrame:
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(s)) - 1
                 s1, s2, own = s[first], s[last], doc[first]
-                span = Stretches(second).of(0, s1, s2 + size) + (s2 - s1).astype(np.uint64)
+                span = common.Stretches(second).of(0, s1, s2 + size) + (s2 - s1).astype(np.uint64)
                 arrays = [name_of[s1].view(np.int64), span.view(np.int64), rows[a:b][owners[own]], (s1 - at[own]).astype(np.int32), (s2 - at[own]).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "words", "row", "s1", "s2"])
 
@@ -299,7 +266,7 @@ def window_hashes(base: DataFrame, runs: DataFrame, size: int, hold: int = 1 <<
             s[one[count > 1]] = ~s[one[count > 1]]
             s[spare] = ~s[spare]
             # spare ones need no company: keys that differ from row to row
-            w1[spare] = common.mix(row[spare].astype(np.uint64) * np.uint64(_BASES[0]) + w1[spare] + s[spare].astype(np.uint64))
+            w1[spare] = common.mix(row[spare].astype(np.uint64) * np.uint64(common.Stretches.BASES[0]) + w1[spare] + s[spare].astype(np.uint64))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (w1.view(np.int64), w2.view(np.int64), row, s.astype(np.int32))], names=["w1", "w2", "row", "s"])
 
         press = zstandard.ZstdDecompressor()
@@ -310,7 +277,7 @@ def window_hashes(base: DataFrame, runs: DataFrame, size: int, hold: int = 1 <<
                 s1, s2 = np.array(s1, dtype=np.int64), np.array(s2, dtype=np.int64)
                 n = s2 - s1 + 1
                 s = np.repeat(s1 - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                stretch = Stretches(*common.hash_words([press.decompress(packed)], twice=True)[:2])
+                stretch = common.Stretches(*common.hash_words([press.decompress(packed)], twice=True)[:2])
                 for k, x in enumerate((stretch.of(0, s, s + size), stretch.of(1, s, s + size), np.full(len(s), row), s)):
                     out[k].append(x)
                 held += len(s)
