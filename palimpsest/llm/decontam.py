@@ -55,14 +55,13 @@ class WuManber:
         bits = min(24, max(10, int(4 * len(start)).bit_length()))
         self.mask = np.uint64((1 << bits) - 1)
         self.shift = np.full(1 << bits, self.far, dtype=np.uint8)
-        blocks = self.blocks(h)
+        blocks = self.blocks(h).astype(np.uint32)
         for end in range(self.span, self.m + 1):  # smaller shifts overwrite
             self.shift[blocks[start + end - 1]] = self.m - end
         bucket = blocks[start + self.m - 1]
         whole = stretch.of(0, start, start + length)
         order = np.lexsort((whole, bucket))
-        self.start, self.length = start[order].astype(np.int32), length[order].astype(np.int32)
-        self.bucket, self.whole = bucket[order].astype(np.uint32), whole[order]
+        self.start, self.length, self.bucket, self.whole = start[order], length[order], bucket[order], whole[order]
 
     def blocks(self, h):
         """Hash of the block that ends at each word."""
@@ -120,17 +119,25 @@ class Tables:
         import numpy as np
 
         self.names = [name for name, _ in items]
-        _, (data, self.first, self.past, h, _, counts) = next(common.word_groups([t for _, t in items], True, 1 << 62, "sign"), (0, (None,) * 3 + (np.zeros(0, dtype=np.uint64), None, np.zeros(0, dtype=int))))
+        found, base = [], 0  # group by group, so that hashing takes little beside the tables
+        for _, (data, first, past, h, _, counts) in common.word_groups([t for _, t in items], True, 1 << 20, "sign"):
+            found.append((data.tobytes(), (first + base).astype(np.int32), (past + base).astype(np.int32), h, counts))
+            base += len(data)
+        parts = list(zip(*found, strict=True)) or [(), (), (), (), ()]
+        self.data = b"".join(parts[0])
+        none = np.zeros(0, dtype=np.int32)
+        self.first, self.past = (np.concatenate([none, *x]) for x in parts[1:3])
+        h = np.concatenate([np.zeros(0, dtype=np.uint64), *parts[3]])
+        counts = np.concatenate([none, *parts[4]])
+        del found, parts
         self.classes: list[WuManber] = []
         if not len(h):
             return
-        self.data = data.tobytes()
-        self.first, self.past = self.first.astype(np.int32), self.past.astype(np.int32)
         self.item = np.repeat(np.arange(len(items), dtype=np.int32), counts)
         begin = np.cumsum(counts) - counts
         own = np.where(counts > 0, np.maximum(counts - size, 0) + 1, 0)  # patterns of each item
-        start = np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(own.sum())
-        length = np.repeat(np.minimum(counts, size), own)
+        start = (np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(own.sum())).astype(np.int32)
+        length = np.repeat(np.minimum(counts, size), own).astype(np.int32)
         stretch = common.Stretches(h)
         place = np.searchsorted(_CLASSES, length, side="right")
         for k in np.unique(place):
@@ -160,7 +167,7 @@ class Tables:
 _ADDED = {"n_words": "bigint", "spans": "array<struct<start:int,end:int>>", "items": "array<string>"}
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 32 << 20, carry: bool = False) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = 16 << 20, carry: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, merged hit ``spans`` in words, ``items``
     (sorted ids of items with occurring windows); with carry also ``doc``, a
     struct of all the document's columns."""

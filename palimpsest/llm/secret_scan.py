@@ -8,14 +8,22 @@ costs little more than its length.
 
 Markov: for each class of labelled samples (1 random, 0 ordinary) a table of
 smoothed transition probabilities between the characters of ``ALPHABET``. A
-candidate is a run of 20 characters of it or more, with a letter and a digit,
-that overlaps no fixed match; it is a secret when the mean log-likelihood ratio
-of its transitions is at least ``least_ratio``. The tables have as many cells as
+candidate is a run of ``least_length`` characters of it or more, with a letter, that
+overlaps no fixed match; it is a secret when the mean log-likelihood ratio of its
+transitions is at least ``least_ratio`` and their sum at least ``least_sum``, so
+shorter runs must be the more unlike identifiers. The tables have as many cells as
 the alphabet squared, whatever the samples.
 
+Samples: a table of label and text. By default the ordinary ones are made of words
+of the scanned documents themselves, put together as identifiers are, from a bounded
+number of passages drawn by a hash (``sample_rows`` of ``sample_chars`` characters,
+repeated ones once), and of a list of words of programs; the random ones are drawn
+by a hash over the alphabets that keys use.
+
 Rows: a null text is empty and has no spans. Rows that repeat or share an id are
-scanned each by itself. An empty table gives no rows. Only ``doc_id`` and
-``text`` are read, so other columns may have any name.
+scanned each by itself. An empty table gives no rows. Ties of place go by kind. A
+very long text is scanned whole. Only ``doc_id`` and ``text`` are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,7 +43,7 @@ _GATES = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\x22']?\x20*
 #: Of these two a match too short can't hide a longer one, so shorter runs need not be matched.
 _FOUND = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 _BLOCK = 256
 _NO_SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
@@ -106,6 +114,7 @@ def default_samples(spark: SparkSession, each: int = 600) -> DataFrame:
         F.upper(F.regexp_replace(b64, "[+/=]", "")),
         F.translate(F.base64(F.unhex(digest("u"))), "+/=", "-_"),
         F.lower(F.regexp_replace(F.base64(F.unhex(digest("l"))), "[+/=]", "")),
+        F.regexp_replace(F.base64(F.unhex(digest("a"))), "[^A-Za-z]", ""),
     )
     names = [word(str(k)) for k in range(4)]
     ordinary = F.array(
@@ -124,6 +133,31 @@ def default_samples(spark: SparkSession, each: int = 600) -> DataFrame:
     return rows.select(F.lit(1).alias("label"), F.explode(random).alias("text")).unionByName(rows.select(F.lit(0).alias("label"), F.explode(ordinary).alias("text")))
 
 
+def corpus_samples(docs: DataFrame, sample_rows: int = 512, sample_chars: int = 2048) -> DataFrame:
+    """Ordinary samples (label 0, text): neighbouring words of documents joined as
+    identifiers are. About sample_rows passages of sample_chars characters."""
+    n = docs.count()
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    drawn = F.pmod(F.xxhash64("text"), F.lit(max(1, n // sample_rows))) == 0
+    at = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - sample_chars)).cast("int") + 1
+    parts = texts.where(drawn).select(F.substring("text", at, F.lit(sample_chars)).alias("part")).distinct()
+    words = parts.select(F.regexp_extract_all("part", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w")).where(F.size("w") > 3)
+    w = lambda i, k: F.get("w", i + k)
+
+    def joined(i: Column) -> Column:
+        shapes = [
+            F.concat_ws("_", F.lower(w(i, 0)), F.lower(w(i, 1)), F.lower(w(i, 2)), (i * 37 % 1000).cast("string")),
+            F.concat(F.lower(w(i, 0)), F.initcap(w(i, 1)), F.initcap(w(i, 2)), F.initcap(w(i, 3))),
+            F.concat_ws("-", w(i, 0), w(i, 1), w(i, 2)),
+            F.concat_ws("/", w(i, 0), w(i, 1), F.concat(w(i, 2), w(i, 3))),
+            F.upper(F.concat_ws("_", w(i, 0), w(i, 1), w(i, 2))),
+        ]
+        return F.get(F.array(*shapes), (i % len(shapes)).cast("int"))
+
+    every = F.sequence(F.lit(0), F.size("w") - 4, F.lit(3))
+    return words.select(F.lit(0).alias("label"), F.explode(F.transform(every, joined)).alias("text"))
+
+
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     """Log-likelihood ratio of every transition, row by row of the alphabet.
 
@@ -152,18 +186,24 @@ def mean_ratio(value: Column, ratios: list[float]) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / (F.length(value) - 1)
 
 
-def scan(docs: DataFrame, samples: DataFrame | None = None, least_ratio: float = 0.5) -> DataFrame:
+def scan(
+    docs: DataFrame, samples: DataFrame | None = None, least_ratio: float = 0.7, least_sum: float = 15.0, least_length: int = 16,
+    sample_rows: int = 512, sample_chars: int = 2048,
+) -> DataFrame:
     """Per row of docs: doc_id, and for each kind its spans (start, end, value)."""
-    ratios = train(default_samples(docs.sparkSession) if samples is None else samples)
+    if samples is None:
+        samples = default_samples(docs.sparkSession).unionByName(corpus_samples(docs, sample_rows, sample_chars))
+    ratios = train(samples)
+    candidate = CANDIDATE % least_length
     df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     df = _places(df, "assign", _FOUND["assign"], F.col("_text").rlike(_GATES["assign"]), 2, 6)
     df = _places(df, "access", _FOUND["access"], F.contains(F.col("_text"), F.lit(_GATES["access"])), 0, 20)
     df = _places(df, "hex", _FOUND["hex"], F.col("_text").rlike(_GATES["hex"]), 0, 24)
-    df = _places(df, "random", CANDIDATE, F.col("_text").rlike(CANDIDATE), 0, 20)
+    df = _places(df, "random", candidate, F.col("_text").rlike(candidate), 0, least_length)
     free = lambda s: ~F.exists(F.concat("assign", "access", "hex"), lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-    likely = F.filter("random", lambda s: mixed(s) & free(s))
-    likely = F.filter(likely, lambda s: mean_ratio(s["value"], ratios) >= least_ratio)
+    least = lambda s: F.greatest(F.lit(least_ratio), F.lit(least_sum) / (F.length(s["value"]) - 1))
+    likely = F.filter("random", lambda s: s["value"].rlike("[A-Za-z]") & free(s))
+    likely = F.filter(likely, lambda s: mean_ratio(s["value"], ratios) >= least(s))
     return df.withColumn("random", F.when(F.size("random") > 0, likely).otherwise(F.col("random"))).drop("_text")
 
 
