@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ WIN_ANSI_HIGH = {
     0x8A: 0x0160, 0x8B: 0x2039, 0x8C: 0x0152, 0x8E: 0x017D, 0x91: 0x2018, 0x92: 0x2019, 0x93: 0x201C, 0x94: 0x201D, 0x95: 0x2022,
     0x96: 0x2013, 0x97: 0x2014, 0x98: 0x02DC, 0x99: 0x2122, 0x9A: 0x0161, 0x9B: 0x203A, 0x9C: 0x0153, 0x9E: 0x017E, 0x9F: 0x0178,
 }
-#: Substitute families where a family is not installed.
+#: Substitute families where a family is not installed.
 SUBSTITUTES = {"Times New Roman": "Liberation Serif", "Arial": "Liberation Sans", "Helvetica": "Liberation Sans", "Courier": "Liberation Mono"}
 
 #: Characters of the glyph names that are words.
@@ -25,17 +27,10 @@ GLYPH_NAMES = {
 
 def glyph_name_code_point(name: str) -> int | None:
     """Code point of a glyph name: a word, a character, or uniXXXX."""
-    if name in GLYPH_NAMES:
-        return ord(GLYPH_NAMES[name])
-    if len(name) == 1:
-        return ord(name)
-    if len(name) == 7 and name.startswith("uni"):
-        try:
-            point = int(name[3:], 16)
-        except ValueError:
-            return None
-        return None if 0xD800 <= point <= 0xDFFF else point
-    return None
+    spelled = GLYPH_NAMES.get(name, name if len(name) == 1 else None)
+    if spelled is None and re.fullmatch("uni[0-9A-Fa-f]{4}", name):
+        spelled = chr(int(name[3:], 16))
+    return None if spelled is None or "\ud800" <= spelled <= "\udfff" else ord(spelled)
 
 
 def glyph_name(name: Column) -> Column:

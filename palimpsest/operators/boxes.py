@@ -43,27 +43,57 @@ def merge_intervals(df: DataFrame, keys: list[str], low: str, high: str, distanc
     return grouped.agg(F.min(low).alias(low), F.max(high).alias(high), F.count("*").alias("n")).drop("_island")
 
 
+def _joined(x0, y0, x1, y1, distance: float):
+    """Least index of each box's group, groups being linked by nearness.
+
+    Boxes are swept in order of their left sides. A grid of horizontal strips holds
+    the boxes that may still be near, so a box meets only those of its own strips."""
+    import numpy as np
+
+    root = list(range(len(x0)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    tall = max(1.0, float(np.median(y1 - y0)) + distance)
+    strips: dict[int, list[int]] = {}
+    left, low, right, high = (a.tolist() for a in (x0, y0, x1, y1))
+    for i in np.lexsort((y0, x0)).tolist():
+        for strip in range(int((low[i] - distance) // tall), int((high[i] + distance) // tall) + 1):
+            waiting = [j for j in strips.get(strip, ()) if left[i] - right[j] <= distance]
+            for j in waiting:
+                if low[i] - high[j] <= distance and low[j] - high[i] <= distance:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+            waiting.append(i)
+            strips[strip] = waiting
+    return np.array([find(i) for i in range(len(root))])
+
+
 def merge_near(boxes: list[tuple], distance: float) -> list[tuple]:
     """Boxes (x, y, w, h) merged into hulls until no two are near; sorted.
 
-    Hulls only grow, so the end is the same in any order; passes repeat while
-    hulls still meet.
-    """
-    current = sorted((x, y, x + w, y + h) for x, y, w, h in boxes)
+    Each round takes the connected groups of near boxes at once and puts their hulls
+    in their place; hulls only grow, so the end does not depend on any order."""
+    import numpy as np
+
+    if not boxes:
+        return []
+    x, y, w, h = np.array(boxes).T
+    sides = [x, y, x + w, y + h]
     while True:
-        out: list[list] = []
-        merged = False
-        for x0, y0, x1, y1 in current:
-            for held in out:
-                if x0 - held[2] <= distance and held[0] - x1 <= distance and y0 - held[3] <= distance and held[1] - y1 <= distance:
-                    held[:] = [min(held[0], x0), min(held[1], y0), max(held[2], x1), max(held[3], y1)]
-                    merged = True
-                    break
-            else:
-                out.append([x0, y0, x1, y1])
-        current = sorted(map(tuple, out))
-        if not merged:
-            return [(x0, y0, x1 - x0, y1 - y0) for x0, y0, x1, y1 in current]
+        groups, place = np.unique(_joined(*sides, distance), return_inverse=True)
+        hulls = []
+        for side, take in zip(sides, (np.minimum, np.minimum, np.maximum, np.maximum), strict=True):
+            out = np.full(len(groups), side.max() if take is np.minimum else side.min(), dtype=side.dtype)
+            take.at(out, place, side)
+            hulls.append(out)
+        if len(groups) == len(sides[0]):
+            return sorted(zip(*(a.tolist() for a in (hulls[0], hulls[1], hulls[2] - hulls[0], hulls[3] - hulls[1])), strict=True))
+        sides = hulls
 
 
 def merge_boxes(df: DataFrame, keys: list[str], distance: float) -> DataFrame:

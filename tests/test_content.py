@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,14 +13,14 @@ from palimpsest.sources.pdf_syntax import Name, SyntaxFault, encoded, number_tex
 
 
 def test_placements():
-    assert C.placements(b"100 0 0 200 50 60 cm /Im1 Do")[0][2] == (50, 60, 150, 260)
+    assert C.placements(b"30 0 0 40 7 9 cm /Pic Do")[0][2] == (7, 9, 37, 49)
     assert C.placements(b"") == []
-    two = C.placements(b"100 0 0 100 0 0 cm /Im1 Do 1 0 0 1 200 300 cm /Im2 Do")
-    assert two[1][1] == (100, 0, 0, 100, 200, 300)
-    assert C.placements(b"100 0 0 100 0 0 cm 1 0 0 1 200 300 cm /Im2 Do", parity=False)[0][1] == (100, 0, 0, 100, 20000, 30000)
-    assert C.placements(b"q 200 0 0 300 10 20 cm Q Q /Im1 Do")[0][1] == C.IDENTITY
-    nested = C.placements(b"q 2 0 0 2 10 20 cm q 3 0 0 3 0 0 cm Q /Im1 Do Q /Im2 Do")
-    assert [p[1] for p in nested] == [(2, 0, 0, 2, 10, 20), C.IDENTITY]
+    two = C.placements(b"5 0 0 5 0 0 cm /A Do 1 0 0 1 3 4 cm /B Do")
+    assert [name for name, _, _ in two] == ["A", "B"] and two[1][1] == (5, 0, 0, 5, 3, 4)
+    assert C.placements(b"5 0 0 5 0 0 cm 1 0 0 1 3 4 cm /B Do", parity=False)[0][1] == (5, 0, 0, 5, 15, 20)
+    assert C.placements(b"q 8 0 0 6 1 1 cm Q Q Q /A Do")[0][1] == C.IDENTITY
+    nested = C.placements(b"/Z Do q 4 0 0 4 1 2 cm q 9 0 0 9 0 0 cm /X Do Q /Y Do Q /Z Do")
+    assert [p[1] for p in nested] == [C.IDENTITY, (36, 0, 0, 36, 9, 18), (4, 0, 0, 4, 1, 2), C.IDENTITY]
 
 
 @pytest.mark.parametrize(
@@ -33,7 +36,7 @@ def test_white_rects(stream, count):
 
 
 def test_white_rect_box():
-    assert C.white_rects(b"q 2 0 0 3 100 200 cm 1 1 1 rg 10 20 50 30 re f Q") == [(120, 260, 220, 350)]
+    assert C.white_rects(b"1 g q 4 0 0 5 6 7 cm 1 2 3 4 re f Q") == [(10, 17, 22, 37)]
 
 
 @pytest.mark.parametrize(
@@ -47,17 +50,17 @@ def test_strip(stream, kept):
 
 def test_text_positions():
     at = lambda s: [c["text_matrix"][4:] for c in C.text_commands(s)]
-    assert at(b"BT /F1 12 Tf 1 0 0 1 50 700 Tm 10 20 Td (A) Tj ET") == [(60, 720)]
-    assert [y for _, y in at(b"BT /F1 12 Tf 0 -14 TD (line1) Tj T* (line2) Tj ET")] == [-14, -28]
-    assert [y for _, y in at(b"BT /F1 12 Tf 14 TL 0 700 Td (line1) Tj T* (line2) Tj ET")] == [700, 686]
-    (c,) = C.text_commands(b"2 0 0 2 10 20 cm BT /F1 12 Tf (S) Tj ET")
-    assert (c["font"], c["size"], c["ctm"]) == ("F1", 12, (2, 0, 0, 2, 10, 20))
-    assert C.text_commands(b"BT (X) Tj ET")[0]["font"] == ""
+    assert at(b"BT /G 9 Tf 1 0 0 1 31 410 Tm 4 6 Td (a) Tj 1 -1 Td (b) Tj ET") == [(35, 416), (36, 415)]
+    assert [y for _, y in at(b"BT /G 9 Tf 0 -11 TD (a) Tj T* (b) Tj T* (c) Tj ET")] == [-11, -22, -33]
+    assert [y for _, y in at(b"BT /G 9 Tf 20 TL 5 300 Td (a) Tj T* (b) Tj (c) ' ET")] == [300, 280, 260]
+    (c,) = C.text_commands(b"3 0 0 4 5 6 cm BT /G 9 Tf (a) Tj ET")
+    assert (c["font"], c["size"], c["ctm"]) == ("G", 9, (3, 0, 0, 4, 5, 6))
+    assert C.text_commands(b"BT (a) Tj ET")[0]["font"] == ""
 
 
 def test_codes():
-    assert C.char_codes(bytes.fromhex("30c630b930c8"), True) == [0x30C6, 0x30B9, 0x30C8]
-    assert C.char_codes(b"AB\x01", True) == [0x4142] and C.char_codes(b"AB", False) == [0x41, 0x42]
+    assert C.char_codes(bytes.fromhex("6f225b57"), True) == [0x6F22, 0x5B57]
+    assert C.char_codes(b"xy\x01", True) == [0x7879] and C.char_codes(b"xy", False) == [0x78, 0x79]
     assert C.tj_entries([b"A", -120, Name("x"), b"B"], False) == [[65], -120.0, [66]]
 
 
@@ -68,7 +71,7 @@ def test_split_operations():
 
 def test_outlines_need_fonts():
     with pytest.raises(KeyError):
-        C.outlines(b"BT /F99 12 Tf (Hello) Tj ET", {})
+        C.outlines(b"BT /None 8 Tf (a) Tj ET", {})
     assert C.outlines(b"q Q", {}) == b"q\nQ"
 
 
@@ -113,9 +116,9 @@ def test_operations():
 
 
 def test_covered_pixels():
-    assert covered_pixels((0, 0, 100, 100), (0, 0, 100, 100), 200, 200) == (0, 0, 200, 200)
-    assert covered_pixels((50, 50, 100, 100), (0, 0, 100, 100), 100, 100) == (50, 0, 50, 50)
-    assert covered_pixels((200, 200, 300, 300), (0, 0, 100, 100), 100, 100) is None
+    assert covered_pixels((10, 10, 50, 30), (10, 10, 50, 30), 80, 60) == (0, 0, 80, 60)
+    assert covered_pixels((20, 10, 30, 15), (10, 10, 50, 30), 40, 20) == (10, 15, 10, 5)
+    assert covered_pixels((60, 0, 70, 9), (10, 10, 50, 30), 40, 20) is None
 
 
 _box = st.tuples(*[st.integers(0, 60)] * 2, *[st.integers(1, 15)] * 2)
@@ -132,5 +135,25 @@ def test_merge_ignores_order(boxes, distance, rng):
 
 
 def test_merge_distance():
-    boxes = [(10, 10, 10, 10), (25, 10, 10, 10)]
-    assert merge_near(boxes, 10) == [(10, 10, 25, 10)] and len(merge_near(boxes, 0)) == 2
+    boxes = [(0, 0, 4, 8), (7, 2, 4, 8)]
+    assert merge_near(boxes, 3) == [(0, 0, 11, 10)] and len(merge_near(boxes, 2)) == 2
+
+
+def test_merge_against_pairs():
+    """Against joining any two near boxes, one pair at a time."""
+    rng = random.Random(4)
+    for _ in range(60):
+        boxes = [(rng.randrange(90), rng.randrange(90), rng.randrange(1, 9), rng.randrange(1, 30)) for _ in range(rng.randrange(30))]
+        want = [(x, y, x + w, y + h) for x, y, w, h in boxes]
+        near = lambda a, b: a[0] - b[2] <= 4 and b[0] - a[2] <= 4 and a[1] - b[3] <= 4 and b[1] - a[3] <= 4
+        while pair := next(((a, b) for a, b in itertools.combinations(want, 2) if near(a, b)), None):
+            a, b = pair
+            want.remove(a)
+            want.remove(b)
+            want.append((min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])))
+        assert merge_near(boxes, 4) == sorted((a, b, c - a, d - b) for a, b, c, d in want)
+
+
+def test_merge_many():
+    boxes = [(6 * (i % 300), 6 * (i // 300), 3, 3) for i in range(60_000)]
+    assert merge_near(boxes, 2) == sorted(boxes) and merge_near(boxes[:9000], 3) == [(0, 0, 1797, 177)]
