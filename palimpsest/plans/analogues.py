@@ -1,18 +1,22 @@
 """The engine's operators applied to the harness tables.
 
-Each query runs one operator of the engine on table columns that stand in for
-pages, operators, boxes or objects, and has the same result in DuckDB SQL.
+Each query runs an operator on table columns that stand in for pages, operators,
+boxes or objects, and has the same result in DuckDB SQL. ``engine`` builds content
+streams, documents or page lists from rows and hands them to the functions that mask
+documents; the other queries are column forms of the operators they are named for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import geometry, names, paging
-from palimpsest.operators import blocks, boxes
+from palimpsest.functions import content, geometry, images, names, paging
+from palimpsest.operators import blocks, boxes, cache
+from palimpsest.sources import fonts, jobs, pdf_pages
+from palimpsest.sources.pdf_syntax import Document, Name, Ref, encoded, escaped_name, operations
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -29,6 +33,31 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def engine(df: DataFrame, kinds: str, each: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """The rows (kinds) that each gives for the values of every row of df."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(kinds))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [out for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for out in each(*row)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).mapInArrow(run, kinds)
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str], *values) -> DataFrame:
+    """keys, and the values (columns) of each key's rows as arrays in order."""
+    rows = df.select(*keys, F.struct(*order, *[v.alias(f"_v{i}") for i, v in enumerate(values)]).alias("o"))
+    sorted_rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("o")).alias("o"))
+    return sorted_rows.select(*keys, *[F.col(f"o._v{i}").alias(f"_v{i}") for i in range(len(values))])
+
+
 # configuration ---------------------------------------------------------------
 
 
@@ -42,8 +71,8 @@ SELECT DISTINCT p_partkey, page::INT AS page FROM e""")
 def page_range_expand(spark, sf):
     size = F.col("p_size")
     spec = F.concat(size, F.lit("-"), size + 3, F.lit(", "), size + 10, F.lit(","), size)
-    pages = t(spark, sf, "part").select("p_partkey", paging.page_range(spec).alias("r"))
-    return pages.select("p_partkey", F.explode("r.pages").alias("page")).withColumn("page", F.col("page").cast("int"))
+    rows = t(spark, sf, "part").select("p_partkey", spec.alias("spec"))
+    return engine(rows, "p_partkey bigint, page int", lambda key, spec: ((key, page) for page in jobs.parse_pages(spec)))
 
 
 @query("""
@@ -134,20 +163,24 @@ def cache_key_valid(spark, sf):
     return t(spark, sf, "documents").select("doc_id", paging.valid_key(key).alias("valid"))
 
 
-def _cached(spark, sf, how):
-    wanted = t(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "en", 1).otherwise(0).alias("mode"))
-    held = t(spark, sf, "labels").select(F.col("doc_id").alias("held_id"), "quality")
-    return wanted.join(held, (F.col("doc_id") == F.col("held_id")) & (F.col("mode") == F.col("quality")), how)
+def _cached(spark, sf):
+    """(hits, pages without one): labels are the table of held results."""
+    text = lambda c: F.col(c).cast("string")
+    mode = F.when(F.col("lang") == "en", "1").otherwise("0")
+    wanted = t(spark, sf, "documents").select(F.col("doc_id").alias("job"), F.lit(0).alias("page"), F.lit(1.0).alias("width"), F.lit(1.0).alias("height"), text("doc_id").alias("key"), mode.alias("mode"))
+    known = {"key": text("doc_id"), "mode": text("quality"), "width": F.lit(1.0), "height": F.lit(1.0)}
+    held = [known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in cache._held()]
+    return cache.split_hits(wanted, t(spark, sf, "labels").select(*held, F.current_timestamp().alias("written")))
 
 
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 1 ELSE 0 END AS mode FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = CASE d.lang WHEN 'en' THEN 1 ELSE 0 END)")
 def cache_hits(spark, sf):
-    return _cached(spark, sf, "left_semi")
+    return _cached(spark, sf)[0].select(F.col("job").alias("doc_id"), F.col("mode").cast("int").alias("mode"))
 
 
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 1 ELSE 0 END AS mode FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = CASE d.lang WHEN 'en' THEN 1 ELSE 0 END)")
 def cache_misses(spark, sf):
-    return _cached(spark, sf, "left_anti")
+    return _cached(spark, sf)[1].select(F.col("job").alias("doc_id"), F.col("mode").cast("int").alias("mode"))
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS copy_of FROM documents")
@@ -178,16 +211,26 @@ r AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY seq) AS run FROM s
 d AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY page_id ORDER BY seq)) AS depth FROM r)
 SELECT page_id, seq::INT AS seq, tag FROM d WHERE depth = 0 AND step = 0""")
 def strip_blocks(spark, sf):
-    tag = F.col("tag")
-    return blocks.strip_blocks(_tags(spark, sf), ["page_id"], "seq", tag.isin(_SHUT_TAGS), tag.isin([f"/{x}" for x in _SHUT_TAGS]))
+    shows = {x: "BT" for x in _SHUT_TAGS} | {f"/{x}": "ET" for x in _SHUT_TAGS}
+
+    def each(page, tags):
+        stream = encoded([(shows[tag], []) if tag in shows else ("Do", [seq, Name(tag)]) for seq, tag in enumerate(tags)])
+        return ((page, seq, str(tag)) for _, (seq, tag) in operations(content.strip_text(stream)))
+
+    tags = F.regexp_extract_all("html", F.lit("<(/?[a-zA-Z0-9]+)"), F.lit(1))
+    return engine(t(spark, sf, "pages").select("page_id", tags), "page_id bigint, seq int, tag string", each)
 
 
 @query("""
 WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS names FROM pages)
 SELECT page_id, generate_subscripts(names, 1)::INT - 1 AS seq, unnest(names) AS name FROM a""")
 def placements(spark, sf):
+    def each(page, found):
+        drawn = content.placements(encoded([("Do", [Name(name)]) for name in found]))
+        return ((page, seq, name) for seq, (name, _, _) in enumerate(drawn))
+
     found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return t(spark, sf, "pages").select("page_id", F.posexplode(found).alias("seq", "name"))
+    return engine(t(spark, sf, "pages").select("page_id", found), "page_id bigint, seq int, name string", each)
 
 
 _DEPTH_SQL = _TAGS_SQL + """,
@@ -232,11 +275,14 @@ p AS (SELECT l_orderkey, list_reduce(list_prepend([1, 0, 0, 1, 0, 0]::BIGINT[],
   x[5] * y[1] + x[6] * y[3] + y[5], x[5] * y[2] + x[6] * y[4] + y[6]]) AS r FROM a)
 SELECT l_orderkey, r[1] AS a, r[2] AS b, r[3] AS c, r[4] AS d, r[5] AS e, r[6] AS f FROM p""")
 def ctm_compose(spark, sf):
-    big = lambda e: F.expr(e).cast("bigint")
-    m = geometry.matrix(big("l_quantity % 3 - 1"), big("l_linenumber % 2"), big("l_partkey % 2"), F.lit(1).cast("bigint"), big("l_suppkey % 10"), big("l_linenumber"))
-    rows = t(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", m.alias("m")).alias("o"))
-    ordered = F.transform(F.array_sort(F.collect_list("o")), lambda o: o["m"])
-    return rows.groupBy("l_orderkey").agg(geometry.product(ordered, "bigint").alias("p")).select("l_orderkey", "p.*")
+    entries = F.array(*[F.expr(e).cast("bigint") for e in ("l_quantity % 3 - 1", "l_linenumber % 2", "l_partkey % 2", "1", "l_suppkey % 10", "l_linenumber")])
+    rows = in_order(t(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], entries)
+
+    def each(order, matrices):
+        ((_, matrix, _),) = content.placements(encoded([*(("cm", m) for m in matrices), ("Do", [Name("Im")])]))
+        yield (order, *(int(x) for x in matrix))
+
+    return engine(rows, "l_orderkey bigint, a bigint, b bigint, c bigint, d bigint, e bigint, f bigint", each)
 
 
 @query("""
@@ -244,10 +290,10 @@ WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity - 2
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(e, a + e, c + e, a + c + e)::DOUBLE AS x_min, least(f, b + f, d + f, b + d + f)::DOUBLE AS y_min,
        greatest(e, a + e, c + e, a + c + e)::DOUBLE AS x_max, greatest(f, b + f, d + f, b + d + f)::DOUBLE AS y_max FROM m""")
 def bbox_from_ctm(spark, sf):
-    num = lambda e: F.expr(e).cast("double")
-    m = geometry.matrix(num("l_quantity - 25"), num("l_linenumber - 3"), num("l_partkey % 5"), num("l_quantity"), num("l_suppkey % 50"), F.lit(7.0))
-    rows = t(spark, sf, "lineitem").withColumn("m", m)
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", geometry.unit_box(F.col("m")).alias("b")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "b.*")
+    entries = F.array(*[F.expr(e).cast("double") for e in ("l_quantity - 25", "l_linenumber - 3", "l_partkey % 5", "l_quantity", "l_suppkey % 50", "7")])
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", entries)
+    kinds = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, x_min double, y_min double, x_max double, y_max double"
+    return engine(rows, kinds, lambda *row: ((*row[:4], *content.hull(tuple(row[4]))),))
 
 
 @query("""
@@ -258,8 +304,15 @@ def white_rects(spark, sf):
     space = F.when(F.col("l_returnflag") == "A", "gray").when(F.col("l_returnflag") == "N", "rgb").otherwise("cmyk")
     d, x = F.col("l_discount"), F.col("l_tax")
     c = F.when(space == "gray", F.array(x * 12.5)).when(space == "rgb", F.array(d * 10, d * 10, x * 12.5)).otherwise(F.array(d, d, x, x))
-    rows = t(spark, sf, "lineitem").withColumn("space", space).withColumn("c", c)
-    return rows.where(geometry.is_white(F.col("space"), F.col("c"))).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "space")
+    fill = {"gray": "g", "rgb": "rg", "cmyk": "k"}
+
+    def each(*row):
+        *keys, space, color = row
+        if content.white_rects(encoded([(fill[space], color), ("re", [0, 0, 1, 1]), ("f", [])])):
+            yield (*keys, space)
+
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", space, c)
+    return engine(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, space string", each)
 
 
 @query("""
@@ -275,8 +328,16 @@ def path_rect_sessions(spark, sf):
 @query("""
 SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS fill FROM events""")
 def fill_color_carry(spark, sf):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, sf, "events").select("event_id", F.last(F.when(F.col("event_type") == "click", F.col("value")), ignorenulls=True).over(order).alias("fill"))
+    # (gray, 0, 0) once a color is set; before that the single component it starts with
+    color = F.when(F.col("event_type") == "click", F.col("value"))
+    rows = in_order(t(spark, sf, "events"), ["user_id"], ["ts", "event_id"], F.col("event_id"), color)
+
+    def each(_, events, colors):
+        states = content.walk([("n", []) if c is None else ("rg", [c, 0.0, 0.0]) for c in colors])
+        for event, (_, _, state) in zip(events, states, strict=True):
+            yield event, state.fill.parts[0] if len(state.fill.parts) == 3 else None
+
+    return engine(rows, "event_id bigint, fill double", each)
 
 
 # boxes -----------------------------------------------------------------------
@@ -326,11 +387,11 @@ r AS (SELECT p_partkey, floor(least(greatest((x0 - 10) / 100 * w, 0), w))::BIGIN
 SELECT p_partkey, CASE WHEN r > l AND b > t THEN l::DOUBLE END AS x, CASE WHEN r > l AND b > t THEN t::DOUBLE END AS y,
        CASE WHEN r > l AND b > t THEN (r - l)::DOUBLE END AS w, CASE WHEN r > l AND b > t THEN (b - t)::DOUBLE END AS h FROM r""")
 def page_to_image(spark, sf):
-    num = lambda e: F.expr(e).cast("double")
-    target = geometry.box(num("p_partkey % 130"), num("p_size * 2"), num("p_partkey % 130 + p_size"), num("p_size * 2 + 30"))
-    placed = geometry.box(F.lit(10.0), F.lit(20.0), F.lit(110.0), F.lit(70.0))
-    rows = t(spark, sf, "part").withColumn("r", geometry.page_to_pixels(target, placed, F.lit(200), F.lit(100)))
-    return rows.select("p_partkey", *[F.col(f"r.{c}").cast("double").alias(c) for c in "xywh"])
+    target = F.array(*[F.expr(e).cast("double") for e in ("p_partkey % 130", "p_size * 2", "p_partkey % 130 + p_size", "p_size * 2 + 30")])
+    placed = (10.0, 20.0, 110.0, 70.0)
+    each = lambda key, box: ((key, *(images.covered_pixels(tuple(box), placed, 200, 100) or (None,) * 4)),)
+    found = engine(t(spark, sf, "part").select("p_partkey", target), "p_partkey bigint, x bigint, y bigint, w bigint, h bigint", each)
+    return found.select("p_partkey", *[F.col(c).cast("double").alias(c) for c in "xywh"])
 
 
 @query("""
@@ -368,8 +429,10 @@ def noise_filter(spark, sf):
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN 0.299 * (l_quantity / 50) + 0.587 * (l_discount * 10) + 0.114 * (l_tax * 12.5) >= 0.5 THEN 1 ELSE 0 END AS gray
 FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax FROM lineitem)""")
 def luminance_bw(spark, sf):
-    lum = geometry.luminance(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12.5)
-    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", geometry.black_or_white(lum).alias("gray"))
+    color = F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12.5)
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", color)
+    kinds = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, gray int"
+    return engine(rows, kinds, lambda *row: ((*row[:4], int(content.Fill(tuple(row[4])).operator(True)[0])),))
 
 
 # text ------------------------------------------------------------------------
@@ -380,18 +443,33 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        coalesce(sum(w) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x
 FROM (SELECT *, (l_quantity * 12 + CASE WHEN l_linenumber = 1 THEN 250 ELSE 0 END)::BIGINT AS w FROM lineitem)""")
 def glyph_advance(spark, sf):
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, -1)
-    w = (F.col("l_quantity") * 12 + F.when(F.col("l_linenumber") == 1, 250).otherwise(0)).cast("bigint")
-    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.sum(w).over(order), F.lit(0)).alias("x"))
+    w = F.col("l_quantity") * 12 + F.when(F.col("l_linenumber") == 1, 250).otherwise(0)
+    keys = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")]
+    rows = in_order(t(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], w, *keys)
+
+    def each(order, widths, *keys):
+        text = content.Text(size=1000.0)
+        for width, *key in zip(widths, *keys, strict=True):
+            yield (order, *key, round(text.matrix[4]))
+            text.advance(width)
+
+    return engine(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, x bigint", each)
 
 
 @query("""
 SELECT conv_id, turn, (700 - sum(CASE role WHEN 'user' THEN 14 ELSE 28 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS y FROM
 (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2)""")
 def line_positions(spark, sf):
-    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     lines = t(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
-    return lines.select("conv_id", "turn", (700 - F.sum(F.when(F.col("role") == "user", 14).otherwise(28)).over(order)).cast("bigint").alias("y"))
+    rows = in_order(lines, ["conv_id"], ["turn"], F.col("turn"), F.when(F.col("role") == "user", 14).otherwise(28))
+
+    def each(conv, turns, leads):
+        ops = [("BT", []), ("Td", [0, 700]), *(op for lead in leads for op in (("TL", [lead]), ("T*", []), ("Tj", [b"x"])))]
+        for turn, shown in zip(turns, content.text_commands(encoded(ops)), strict=True):
+            yield conv, turn, round(shown["text_matrix"][5])
+
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    return engine(rows, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, y bigint", each)
 
 
 @query("""
@@ -440,13 +518,19 @@ def ps_name_parse(spark, sf):
         F.upper(F.substring("p_type", 1, 1)), F.lower(F.expr("substring(p_type, 2)")), F.when(size % 2 == 0, "NewRoman").otherwise(""), F.when(size % 3 == 0, "PS").otherwise(""),
         F.when(size % 5 == 0, "-BoldItalic").when(size % 5 == 1, "-Bold").when(size % 5 == 2, "-Italic").when(size % 5 == 3, "-Oblique").otherwise(""), F.when(size % 7 == 0, "MT").otherwise(""),
     )
-    return t(spark, sf, "part").select("p_partkey", names.ps_name(name).alias("n")).select("p_partkey", "n.*")
+    each = lambda key, name: ((key, *fonts.ps_name_parts(name)),)
+    return engine(t(spark, sf, "part").select("p_partkey", name), "p_partkey bigint, family string, bold boolean, italic boolean", each)
 
 
 @query("SELECT doc_id, CASE lang WHEN 'de' THEN 'Identity-H' WHEN 'fr' THEN 'WinAnsiEncoding' ELSE 'WinAnsiEncoding' END AS encoding FROM documents")
 def encoding_default(spark, sf):
-    known = spark.createDataFrame([("de", "Identity-H"), ("fr", "WinAnsiEncoding")], "lang string, encoding string")
-    return t(spark, sf, "documents").join(F.broadcast(known), "lang", "left").select("doc_id", F.coalesce("encoding", F.lit("WinAnsiEncoding")).alias("encoding"))
+    named = {"de": {"Encoding": Ref(1, 0)}, "fr": {"Encoding": Name("WinAnsiEncoding")}}
+
+    def each(doc_id, lang):
+        two_byte = fonts._identity(Document({1: Name("Identity-H")}), named.get(lang, {}))
+        yield doc_id, "Identity-H" if two_byte else "WinAnsiEncoding"
+
+    return engine(t(spark, sf, "documents").select("doc_id", "lang"), "doc_id bigint, encoding string", each)
 
 
 @query("""
@@ -454,7 +538,8 @@ SELECT n_nationkey, concat('/', array_to_string(list_transform(string_split(n_na
        array_to_string(list_transform(string_split(n_name || ' (' || n_regionkey || ')#é', ''), lambda c: CASE WHEN regexp_full_match(c, '[A-Za-z0-9_-]') THEN c WHEN c = 'é' THEN '%C3%A9' ELSE '%' || upper(to_hex(ascii(c))) END), '') AS file FROM nation""")
 def escape_names(spark, sf):
     name = F.concat("n_name", F.lit(" ("), "n_regionkey", F.lit(")#é"))
-    return t(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("/"), names.pdf_name(name)).alias("pdf"), names.file_name(name).alias("file"))
+    rows = t(spark, sf, "nation").select("n_nationkey", name.alias("name"), names.file_name(name).alias("file"))
+    return engine(rows, "n_nationkey int, pdf string, file string", lambda key, name, file: ((key, escaped_name(name).decode(), file),))
 
 
 # routing, assembly, report ---------------------------------------------------
@@ -493,8 +578,14 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionke
 def inherit_lookup(spark, sf):
     up = t(spark, sf, "nation").join(F.broadcast(t(spark, sf, "region")), F.expr("n_regionkey = r_regionkey"))  # 25 rows at any scale
     rows = t(spark, sf, "customer").join(F.broadcast(up), F.expr("c_nationkey = n_nationkey"))
-    own = F.when(F.expr("c_custkey % 4 = 0"), F.col("c_acctbal"))
-    return rows.select("c_custkey", F.coalesce(own, F.when(F.expr("n_nationkey % 3 = 0"), F.col("n_nationkey") * 10.0), F.col("r_regionkey") * 100.0).cast("double").alias("width"))
+
+    def each(key, balance, nation, region):
+        """A page below its nation's node, below its region's."""
+        nodes = {2: {"Parent": Ref(3, 0)} | ({"Wide": nation * 10.0} if nation % 3 == 0 else {}), 3: {"Wide": region * 100.0}}
+        page = {"Parent": Ref(2, 0)} | ({"Wide": balance} if key % 4 == 0 else {})
+        yield key, Document(nodes).inherited(page, "Wide")
+
+    return engine(rows.select("c_custkey", "c_acctbal", "n_nationkey", "r_regionkey"), "c_custkey bigint, width double", each)
 
 
 @query("SELECT o_orderkey, bool_or(o_orderstatus = 'P') OVER (PARTITION BY o_custkey) AS shared FROM orders WHERE o_orderstatus <> 'P' OR true")
@@ -506,8 +597,17 @@ def shared_resources(spark, sf):
 
 @query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)")
 def prune_orphans(spark, sf):
-    used = t(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
-    return t(spark, sf, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
+    used = t(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("used", F.lit(True))
+    rows = t(spark, sf, "part").select("p_partkey").join(used, "p_partkey", "left").withColumn("file", F.floor(F.col("p_partkey") / 256))
+    rows = in_order(rows, ["file"], ["p_partkey"], F.col("p_partkey"), F.col("used"))
+
+    def each(_, parts, used):
+        """A document of a file's parts, of which the trailer refers to the used ones."""
+        doc = Document({p: {} for p in parts}, {"Kids": [Ref(p, 0) for p, u in zip(parts, used, strict=True) if u]})
+        pdf_pages.prune(doc)
+        return ((p,) for p in parts if p not in doc.objects)
+
+    return engine(rows, "p_partkey bigint", each)
 
 
 @query("SELECT l_orderkey, l_partkey % 5 AS name, arg_max(l_extendedprice, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + l_quantity) AS value FROM lineitem GROUP BY 1, 2")
