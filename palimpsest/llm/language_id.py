@@ -93,8 +93,9 @@ def new_model(languages: int, seed: int = 5) -> dict:
     return p
 
 
-def train(sample: list[tuple[bytes, str]], stretch: int = 128, epochs: int = 8, lanes: int = 256) -> tuple[list[str], dict]:
-    """(languages, parameters) by Adam on the mean cross entropy of all bytes."""
+def train(sample: list[tuple[bytes, str]], stretch: int = 128, epochs: int = 8, lanes: int = 256, least_steps: int = 240) -> tuple[list[str], dict]:
+    """(languages, parameters) by Adam on the mean cross entropy of all bytes, in
+    epochs passes over the sample, or as many as make least_steps steps."""
     import numpy as np
 
     languages = sorted({lang for _, lang in sample})
@@ -105,6 +106,7 @@ def train(sample: list[tuple[bytes, str]], stretch: int = 128, epochs: int = 8,
     target = np.array([languages.index(lang) for _, lang in sample])[owner]
     opt, rng = gru.Adam(p, 0.02), np.random.default_rng(3)
     batches = -(-len(start) // lanes)
+    epochs = max(epochs, -(-least_steps // max(1, batches)))
     for epoch in range(epochs):
         order = rng.permutation(len(start))
         for k in range(batches):

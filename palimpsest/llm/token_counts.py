@@ -42,6 +42,8 @@ def write_token_files(docs: DataFrame, folder: str, separator: int = 50256, widt
     """Write one flat token file a partition; return the written list of
     (file, doc_number, doc_id), the only record of which document is where."""
     files = vocabulary or tokens.vocabulary_files()
+    if separator >> (8 * width):
+        raise ValueError(f"separator {separator} does not fit {width} bytes")
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
