@@ -144,8 +144,9 @@ def _turned(states, length):
     return np.take_along_axis(states, at[:, :, None], axis=0)
 
 
-def byte_probabilities(p: dict, texts: list[bytes], stretch: int, lanes: int = 2048):
-    """Sums over all bytes of each text's language probabilities."""
+def byte_probabilities(p: dict, texts: list[bytes], stretch: int, cells: int = 1 << 18):
+    """Sums over all bytes of each text's language probabilities; cells is how many
+    bytes are run at once."""
     import numpy as np
 
     total = np.zeros((len(texts), len(p["b"])))
@@ -153,6 +154,7 @@ def byte_probabilities(p: dict, texts: list[bytes], stretch: int, lanes: int = 2
         return total
     flat, start, length, owner = _stretches(texts, stretch)
     order = np.argsort(-length, kind="stable")
+    lanes = max(1, cells // stretch)
     for k in range(0, len(order), lanes):
         pick = order[k : k + lanes]
         zero = np.zeros((len(pick), SIZE), dtype=np.float32)
@@ -168,7 +170,7 @@ def byte_probabilities(p: dict, texts: list[bytes], stretch: int, lanes: int = 2
     return total
 
 
-def predict(docs: DataFrame, languages: list[str], params: dict, stretch: int = 1024) -> DataFrame:
+def predict(docs: DataFrame, languages: list[str], params: dict, stretch: int = 512) -> DataFrame:
     """docs with ``lang_pred`` and ``score``, by their column text."""
     spark = docs.sparkSession
     common.small_batches(spark)
