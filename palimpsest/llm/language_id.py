@@ -155,13 +155,14 @@ def byte_probabilities(p: dict, texts: list[bytes], stretch: int, cells: int = 1
     flat, start, length, owner = _stretches(texts, stretch)
     order = np.argsort(-length, kind="stable")
     lanes = max(1, cells // stretch)
+    inputs = {d: p[f"x{d}"] * np.repeat(np.float32([0.5, 1]), SIZE) for d in "lr"}  # the gates' half halved
     for k in range(0, len(order), lanes):
         pick = order[k : k + lanes]
         zero = np.zeros((len(pick), SIZE), dtype=np.float32)
         score = None
         for d in "lr":
             codes, inside = _codes(flat, start[pick], length[pick], d == "r")
-            states, _, _ = gru.forward(p[f"x{d}"][codes], p[f"u{d}"], zero)
+            states, _, _ = gru.forward(inputs[d][codes], p[f"u{d}"], zero, halved=True)
             part = states @ p[f"o{d}"]
             score = part + p["b"] if d == "l" else score + _turned(part, length[pick])
         prob = gru.softmax(score)
