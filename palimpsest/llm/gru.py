@@ -77,6 +77,53 @@ def backward(grad, u, saved, keep=None):
     return dx, before.reshape(-1, size).T @ dx.reshape(-1, 2 * size)
 
 
+def columns_input(x, pad: int):
+    """Inputs by code (codes x 2H) as ``both_ways`` takes them: 2H x codes, the
+    gates' half halved; at the code pad the gate is shut, so the state stays."""
+    import numpy as np
+
+    x = np.array(x.T, dtype=np.float32, order="C")
+    size = len(x) // 2
+    x[:size] *= 0.5
+    x[:size, pad] = -1e4
+    return x
+
+
+def both_ways(inputs, u, codes):
+    """States (T x H x B) of a layer from the left and of one from the right over the
+    same codes, T x B. Lanes lie along the last axis, so every step works on whole
+    rows; padding behind a lane's codes leaves the right layer at its zero state.
+    """
+    import numpy as np
+
+    steps, lanes = codes.shape
+    size = u[0].shape[0]
+    turned = []
+    for w in u:
+        w = np.array(w.T, dtype=np.float32, order="C")
+        w[:size] *= 0.5  # sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
+        turned.append(w)
+    out = np.empty((2, steps, size, lanes), dtype=np.float32)
+    h = [np.zeros((size, lanes), dtype=np.float32)] * 2
+    a, x = np.empty((2, 2 * size, lanes), dtype=np.float32), np.empty((2, 2 * size, lanes), dtype=np.float32)
+    for s in range(steps):
+        for d, t in ((0, s), (1, steps - 1 - s)):
+            np.take(inputs[d], codes[t], axis=1, out=x[d], mode="clip")
+            np.matmul(turned[d], h[d], out=a[d])
+        a += x
+        np.tanh(a, out=a)
+        z = a[:, :size]
+        z *= 0.5
+        z += 0.5
+        for d, t in ((0, s), (1, steps - 1 - s)):
+            new = out[d, t]
+            np.subtract(a[d, size:], h[d], out=new)
+            new *= z[d]
+            new += h[d]
+            h[d] = new
+    return out
+
+
 class Adam:
     """Adam over a dict of arrays, in place, with gradients clipped by norm."""
 

@@ -155,19 +155,18 @@ def byte_probabilities(p: dict, texts: list[bytes], stretch: int, cells: int = 1
     flat, start, length, owner = _stretches(texts, stretch)
     order = np.argsort(-length, kind="stable")
     lanes = max(1, cells // stretch)
-    inputs = {d: p[f"x{d}"] * np.repeat(np.float32([0.5, 1]), SIZE) for d in "lr"}  # the gates' half halved
+    inputs = [gru.columns_input(p[f"x{d}"], 256) for d in "lr"]
     for k in range(0, len(order), lanes):
         pick = order[k : k + lanes]
-        zero = np.zeros((len(pick), SIZE), dtype=np.float32)
-        score = None
-        for d in "lr":
-            codes, inside = _codes(flat, start[pick], length[pick], d == "r")
-            states, _, _ = gru.forward(inputs[d][codes], p[f"u{d}"], zero, halved=True)
-            part = states @ p[f"o{d}"]
-            score = part + p["b"] if d == "l" else score + _turned(part, length[pick])
-        prob = gru.softmax(score)
-        prob[~inside] = 0
-        np.add.at(total, owner[pick], prob.sum(axis=0))
+        codes, inside = _codes(flat, start[pick], length[pick], False)
+        left, right = gru.both_ways(inputs, [p["ul"], p["ur"]], codes)
+        score = np.matmul(p["ol"].T, left)
+        score += np.matmul(p["or"].T, right)
+        score += p["b"][:, None]
+        score -= score.max(axis=1, keepdims=True)
+        np.exp(score, out=score)
+        score *= (inside / score.sum(axis=1))[:, None, :].astype(np.float32)
+        np.add.at(total, owner[pick], score.sum(axis=0, dtype=np.float64).T)
     return total
 
 
