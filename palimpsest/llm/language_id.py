@@ -76,7 +76,7 @@ def _codes(flat, start, length, back: bool):
     t = np.arange(steps)[:, None]
     at = start[None, :] + (length[None, :] - 1 - t if back else t)
     inside = t < length[None, :]
-    return np.where(inside, flat[np.clip(at, 0, len(flat) - 1)], 256), inside
+    return np.where(inside, flat[np.clip(at, 0, len(flat) - 1)].astype(np.intp), 256), inside
 
 
 def new_model(languages: int, seed: int = 5) -> dict:

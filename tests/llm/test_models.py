@@ -153,3 +153,27 @@ def test_hadamard():
     x = np.random.default_rng(0).normal(size=(5, 16))
     y = vector_search.hadamard(x)
     assert np.allclose(vector_search.hadamard(y), x) and np.allclose((y**2).sum(axis=1), (x**2).sum(axis=1))
+
+
+def test_byte_probabilities_of_texts_of_unlike_lengths():
+    """Texts run side by side give what each gives alone, by a plain loop."""
+    params = language_id.new_model(3)
+    texts = [b"abc", "é".encode() * 9, b"", b"\x00q", b"abcdefgh" * 5]
+    got = language_id.byte_probabilities(params, texts, 16)
+    for data, row in zip(texts, got):
+        want = np.zeros(3)
+        for k in range(0, len(data), 16):
+            part = data[k : k + 16]
+            states = {}
+            for d, run in (("l", part), ("r", part[::-1])):
+                h, seen = np.zeros(language_id.SIZE), []
+                for byte in run:
+                    a = params[f"x{d}"][byte] + h @ params[f"u{d}"]
+                    z = 1 / (1 + np.exp(-a[: language_id.SIZE]))
+                    h = h + z * (np.tanh(a[language_id.SIZE :]) - h)
+                    seen.append(h)
+                states[d] = seen if d == "l" else seen[::-1]
+            for left, right in zip(states["l"], states["r"]):
+                e = np.exp(left @ params["ol"] + right @ params["or"] + params["b"])
+                want += e / e.sum()
+        assert np.allclose(row, want, atol=1e-3)
