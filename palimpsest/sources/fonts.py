@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+from palimpsest.functions.cff import Compact
 from palimpsest.functions.names import SUBSTITUTES, glyph_name_code_point, win_ansi_code_point
 from palimpsest.functions.truetype import FontFault, TrueType
 from palimpsest.sources.pdf_syntax import Document, Ref, Stream
@@ -16,12 +17,14 @@ FONT_FOLDERS = ("/usr/share/fonts", "/usr/local/share/fonts", os.path.expanduser
 
 @dataclass
 class Font:
-    face: TrueType
+    face: TrueType | Compact
     two_byte: bool = False
     widths: dict[int, float] = field(default_factory=dict)
     default_width: float = 0.0
     #: Code points of single codes that differ from WinAnsi.
     differences: dict[int, int] = field(default_factory=dict)
+    #: Glyphs of single codes that a compact face names itself.
+    codes: dict[int, int] = field(default_factory=dict)
 
     @property
     def units(self) -> int:
@@ -29,7 +32,9 @@ class Font:
 
     def glyph(self, code: int) -> int | None:
         if self.two_byte:
-            return code
+            return self.face.glyph_of_id(code) if isinstance(self.face, Compact) else code
+        if code in self.codes:
+            return self.codes[code]
         point = self.differences.get(code) or (win_ansi_code_point(code) if code < 256 else None)
         return self.face.glyph_of(point) if point is not None else None
 
@@ -108,13 +113,23 @@ def _face_of_file(path: str) -> TrueType:
         return TrueType(f.read())
 
 
-def _embedded(doc: Document, font: dict) -> TrueType | None:
+def _embedded(doc: Document, font: dict) -> TrueType | Compact | None:
     descriptor = doc.get(font.get("FontDescriptor"))
-    stream = doc.get(descriptor.get("FontFile2")) if isinstance(descriptor, dict) else None
-    return TrueType(doc.decoded(stream)) if isinstance(stream, Stream) else None
+    if not isinstance(descriptor, dict):
+        return None
+    stream = doc.get(descriptor.get("FontFile2"))
+    if isinstance(stream, Stream):
+        return TrueType(doc.decoded(stream))
+    stream = doc.get(descriptor.get("FontFile3"))
+    if isinstance(stream, Stream):
+        try:
+            return Compact(doc.decoded(stream))
+        except FontFault:  # an installed face may do
+            return None
+    return None
 
 
-def _face(doc: Document, font: dict) -> TrueType:
+def _face(doc: Document, font: dict) -> TrueType | Compact:
     face = _embedded(doc, font)
     if face is None:
         name = str(doc.get(font.get("BaseFont")) or "")
@@ -162,24 +177,48 @@ def differences(doc: Document, font: dict) -> dict[int, int]:
     return out
 
 
+def own_codes(doc: Document, font: dict, face: Compact) -> dict[int, int]:
+    """Glyphs by code of a compact face: its own encoding where the font names no
+    other, and the encoding's differences by glyph name."""
+    encoding = doc.get(font.get("Encoding"))
+    named = doc.get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else encoding
+    out = {} if named else dict(face.codes)
+    by_name = {name: g for g, name in reversed(list(enumerate(face.names)))}
+    code = 0
+    for x in (doc.get(encoding.get("Differences")) if isinstance(encoding, dict) else None) or ():
+        x = doc.get(x)
+        if isinstance(x, int):
+            code = x
+            continue
+        if str(x) in by_name:
+            out[code] = by_name[str(x)]
+        else:  # the difference's code point decides
+            out.pop(code, None)
+        code += 1
+    return out
+
+
 def read_font(doc: Document, font: dict) -> Font:
     kind = doc.get(font.get("Subtype"))
     if kind in ("TrueType", "Type1", "MMType1"):
         face = _face(doc, font)
-        widths: dict[int, float] = {}
+        found = Font(face, _identity(doc, font), differences=differences(doc, font))
+        if isinstance(face, Compact):
+            found.codes = own_codes(doc, font, face)
+        widths = found.widths
         listed = doc.get(font.get("Widths"))
         if isinstance(listed, list):
             first = doc.get(font.get("FirstChar", 0))
             if not isinstance(first, int) or not 0 <= first <= 0xFFFF:
                 raise FontFault("FirstChar out of range")
-            widths = {first + k: float(doc.get(w)) for k, w in enumerate(listed)}
+            widths.update({first + k: float(doc.get(w)) for k, w in enumerate(listed)})
         else:
             for code in range(256):
                 point = win_ansi_code_point(code)
-                glyph = face.glyph_of(point) if point is not None else None
+                glyph = found.codes.get(code, face.glyph_of(point) if point is not None else None)
                 if glyph is not None:
                     widths[code] = face.advance(glyph)
-        return Font(face, _identity(doc, font), widths, differences=differences(doc, font))
+        return found
     if kind == "Type0":
         below = doc.get((doc.get(font.get("DescendantFonts")) or [None])[0])
         if not isinstance(below, dict):
@@ -189,7 +228,12 @@ def read_font(doc: Document, font: dict) -> Font:
         face = _face(doc, below)
         default = float(doc.get(below.get("DW", 1000)))
         listed = doc.get(below.get("W"))
-        widths = cid_widths(doc, listed) if isinstance(listed, list) else {g: face.advance(g) for g in range(min(face.glyphs, 65536))}
+        if isinstance(listed, list):
+            widths = cid_widths(doc, listed)
+        elif isinstance(face, Compact) and face.by_cid:
+            widths = {cid: face.advance(g) for cid, g in face.glyph_of_cid.items()}
+        else:
+            widths = {g: face.advance(g) for g in range(min(face.glyphs, 65536))}
         return Font(face, _identity(doc, font), widths, default)
     raise FontFault(f"unsupported font subtype: {kind}", skippable=True)
 
