@@ -8,7 +8,8 @@ stages but the last return the columns of documents.
   more of which no language stands out: the best one's mean probability over all
   bytes lies less than ``LEAST_MARGIN`` of the way from an even chance to certainty.
   A shorter text says too little to be turned away.
-* line_dedup removes repeated runs of two lines or more; n_chars follows the text.
+* line_dedup removes repeated content-defined chunks of lines and, grown from them by
+  an exact step, all repeated runs of two lines or more; n_chars follows the text.
   Documents of which that leaves no word are dropped: all they said is elsewhere.
 * ngram_jaccard keeps one document, the one of least doc_id, of each class.
 * decontaminate drops documents that the benchmark contaminates.

@@ -1,7 +1,7 @@
-"""Line dedup by content-defined chunks of lines, or by all repeated runs.
+"""Line dedup by content-defined chunks of lines.
 
-``dedup`` removes chunks, as its SQL states; ``dedup_runs`` removes every repeated
-run of at least two lines.
+``dedup`` removes chunks, as its SQL states; ``dedup_runs`` removes them and grows
+what they find, so that every repeated run of at least two lines goes.
 
 A line's hash is the first 32 bits of its MD5. A rolling hash over the hashes of
 the last two lines ends a chunk where it is divisible by ``divisor``, so
@@ -16,10 +16,13 @@ bytes alone are gathered for the comparison. Counts are combined before the
 shuffle, and the comparison is a join whose hot keys Spark may split, so a chunk
 that a third of all documents hold needs no task of its own.
 
-Runs: a run of two lines or more that occurs before is one whose every pair of
-neighbouring lines occurs before, so the pairs alone are compared, by the SHA-256
-of their bytes. Both lines of each pair but the first of its kind go. A pair of
-equal lines that overlaps the first of its kind is not another one. The first
+Runs: repeated chunks are the seeds, found and compared as above. An exact step then
+settles the lines around them, and runs too short to hold a chunk: a run of two lines
+or more that occurs before is one whose every pair of neighbouring lines occurs
+before. The pairs within a chunk removed are settled by it, and the first of none of
+their kinds, so only the others, a chunk's borders among them, are compared, by the
+SHA-256 of their bytes. Both lines of each pair but the first of its kind go. A pair
+of equal lines that overlaps the first of its kind is not another one. The first
 place of any line is in no later pair, so no line is lost from the corpus.
 
 Rows: a null text stays null and has no lines; an empty text is one empty line. A
@@ -160,9 +163,10 @@ def dedup(docs: DataFrame, divisor: int = 3, least_lines: int = 2) -> DataFrame:
     return _without(base, gone)
 
 
-def pair_rows(base: DataFrame) -> DataFrame:
-    """(whole, row, id, at) of every two neighbouring lines; whole is the SHA-256
-    of their bytes, at the first one's place."""
+def pair_rows(base: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(whole, row, id, at) of every two neighbouring lines that no seed (row, spans:
+    sorted, disjoint array of (at, to) lines) holds both; whole is the SHA-256 of
+    their bytes, at the first one's place."""
     common.small_batches(base.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -170,25 +174,30 @@ def pair_rows(base: DataFrame) -> DataFrame:
 
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.text_bytes(batch.column(2)), strict=True):
+            columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.text_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()]
+            for row, doc_id, text, starts, pasts in zip(*columns, strict=True):
                 lines = text.split(b"\n") if text is not None else []
-                n = len(lines) - 1
-                if n < 1:
-                    continue
-                out[0] += [hashlib.sha256(a + b"\n" + b).digest() for a, b in zip(lines[:-1], lines[1:], strict=True)]
-                out[1] += [row] * n
-                out[2] += [doc_id] * n
-                out[3] += range(n)
+                # from each seed's last line to the next one's first
+                for a, b in zip([0, *(p - 1 for p in pasts or ())], [*(starts or ()), len(lines) - 1], strict=True):
+                    n = b - a
+                    if n < 1:
+                        continue
+                    out[0] += [hashlib.sha256(x + b"\n" + y).digest() for x, y in zip(lines[a:b], lines[a + 1 : b + 1], strict=True)]
+                    out[1] += [row] * n
+                    out[2] += [doc_id] * n
+                    out[3] += range(a, b)
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["whole", "row", "id", "at"])
 
     chosen = base.select("_row", F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, "whole binary, row bigint, id bigint, at int")
+    # merged at every size: what is removed grows with the corpus
+    seeds = seeds.select(F.col("row").alias("_row"), F.col("spans.at").alias("_from"), F.col("spans.to").alias("_past")).hint("merge")
+    return chosen.join(seeds, "_row", "left").mapInArrow(run, "whole binary, row bigint, id bigint, at int")
 
 
-def repeated_pairs(base: DataFrame) -> DataFrame:
-    """(row, at) of the pairs of lines to remove."""
-    found = common.stage_table(pair_rows(base), "pairs")
+def repeated_pairs(base: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(row, at) of the pairs of lines outside the seeds to remove."""
+    found = common.stage_table(pair_rows(base, seeds), "pairs")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")
     shared = found.groupBy("whole").agg(F.count("*").alias("n"), F.min(order).alias("least")).where("n > 1")
     shared = common.stage_table(shared, "repeated")  # so that the join may split a hot pair
@@ -196,11 +205,14 @@ def repeated_pairs(base: DataFrame) -> DataFrame:
     return common.stage_table(found.join(shared, "whole").where(~own).select("row", "at"), "spare")
 
 
-def dedup_runs(docs: DataFrame) -> DataFrame:
+def dedup_runs(docs: DataFrame, divisor: int = 3, least_lines: int = 2) -> DataFrame:
     """docs, its text without the repeated runs of two lines or more; ``_n_lines``
     and ``_n_removed`` are added."""
     base = _carried(docs)
-    gone = repeated_pairs(base).groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("_at"))
+    chunks_gone = repeated(base, divisor, max(2, least_lines))
+    seeds = chunks_gone.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("spans"))
+    inside = chunks_gone.select("row", F.explode(F.sequence("at", F.col("to") - 2)).alias("at"))
+    gone = repeated_pairs(base, seeds).unionByName(inside).groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("_at"))
     # pairs that follow one another are one run
     starts = F.filter("_at", lambda x, i: (i == 0) | (F.get("_at", i - 1) < x - 1))
     past = F.transform(F.filter("_at", lambda x, i: (i == F.size("_at") - 1) | (F.get("_at", i + 1) > x + 1)), lambda x: x + 2)

@@ -61,3 +61,20 @@ def test_rows_that_share_an_id(spark):
     text = "\n".join(f"line {i}" for i in range(20))
     got = line_dedup.dedup_runs(make(spark, [(1, text), (1, text), (1, text)])).collect()
     assert sorted(r._n_removed for r in got) == [0, 20, 20]
+
+
+def test_chunks_are_the_seeds(spark, monkeypatch):
+    """Repeated chunks are found and compared by op8's method; pairs within them are
+    not compared again, and lines beside them, a chunk of one line too, go as well."""
+    rng = random.Random(2)
+    passages = [[f"passage {k} line {rng.random()}" for _ in range(30)] for k in range(4)]
+    rows = [(i, "\n".join([f"own {i} a", *passages[i % 4], f"own {i} b", f"own {i} c"])) for i in range(40)]
+    seeded, paired = [], []
+    repeated, pairs = line_dedup.repeated, line_dedup.pair_rows
+    monkeypatch.setattr(line_dedup, "repeated", lambda *a: seeded.append(repeated(*a)) or seeded[-1])
+    monkeypatch.setattr(line_dedup, "pair_rows", lambda *a: paired.append(pairs(*a)) or paired[-1])
+    got = line_dedup.dedup_runs(make(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text, r._n_lines, r._n_removed) for r in got) == brute(rows)
+    inside = {(r.row, i) for r in seeded[0].collect() for i in range(r.at, r.to - 1)}
+    left = {(r.row, r.at) for r in paired[0].collect()}
+    assert inside and not inside & left and len(inside | left) == 40 * 32
