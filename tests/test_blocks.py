@@ -45,6 +45,20 @@ def test_merge_intervals(spark):
     assert got == [(1, 0, 20, 3), (1, 30, 31, 1), (2, 5, 6, 1)]
 
 
+def test_merge_intervals_with_equal_rows(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(3), low := rng.randrange(2000) * 7, low + 4) for _ in range(6000)]
+    want = []
+    for k, low, high in sorted(rows):
+        if want and want[-1][0] == k and low - want[-1][2] <= 3:
+            want[-1] = (k, want[-1][1], max(high, want[-1][2]), want[-1][3] + 1)
+        else:
+            want.append((k, low, high, 1))
+    df = spark.createDataFrame(rows, "k int, low int, high int").repartition(16)
+    assert len(set(rows)) < len(rows) * 0.7 and 100 < len(want) < 2500
+    assert sorted((r.k, r.low, r.high, r.n) for r in boxes.merge_intervals(df, ["k"], "low", "high", 3).collect()) == want
+
+
 def test_geometry_columns(spark):
     row = spark.range(1).select(
         geometry.pixel_to_page(*[F.lit(float(v)) for v in (900, 900, 100, 100, 100, 100)], F.lit(1000), F.lit(1000)).alias("p"),
