@@ -7,74 +7,113 @@ sequences ("lanes") run side by side.
 
 from __future__ import annotations
 
+import math
 
-def forward(x, u, h, keep=None, store: bool = False, halved: bool = False):
-    """States of T steps for B lanes: x is T x B x 2H, h the state before.
 
-    keep (T x B, 0 or 1) clears a lane's state before a step. halved: the gates'
-    half of x has been multiplied by 1/2. Returns (states T x B x H, last state,
-    what ``backward`` needs).
-    """
+def _gates(u):
+    """The gate's and the candidate's half of u, each in rows of its own."""
+    import numpy as np
+
+    size = u.shape[0]
+    return [np.array(w, dtype=np.float32, order="C") for w in (u[:, :size], u[:, size:])]
+
+
+def _starts(keep, steps: int):
+    """Lanes that begin a sequence at each step, None where there are none."""
+    import numpy as np
+
+    if keep is None:
+        return [None] * steps
+    at, lane = np.nonzero(keep == 0)
+    cuts = np.searchsorted(at, np.arange(steps + 1)).tolist()
+    return [lane[i:j] if i < j else None for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def forward_halves(z, c, u, h, keep=None, store: bool = False):
+    """``forward`` with the input in two arrays of T x B x H, the gates' half
+    multiplied by 1/2 and the candidates' half, which become the gates and the
+    candidates: every step works on whole stretches of memory."""
     import numpy as np
 
-    steps, lanes, wide = x.shape
-    size = wide // 2
-    u = u.astype(np.float32, copy=True)
-    u[:, :size] *= 0.5  # sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
+    steps, lanes, size = z.shape
+    uz, uc = _gates(u)
+    uz *= 0.5  # sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
     out = np.empty((steps, lanes, size), dtype=np.float32)
-    all_a = np.empty((steps if store else 1, lanes, wide), dtype=np.float32)
     before = np.empty((steps, lanes, size), dtype=np.float32) if store else None
-    at, lane = np.nonzero(keep == 0) if keep is not None else (np.zeros(0, dtype=int),) * 2
-    cuts = np.searchsorted(at, np.arange(steps + 1)).tolist()
-    for t in range(steps):
-        if cuts[t] < cuts[t + 1]:  # lanes that begin a sequence here
+    part = np.empty((lanes, size), dtype=np.float32)
+    for t, begin in enumerate(_starts(keep, steps)):
+        if begin is not None:
             h = h.copy()
-            h[lane[cuts[t] : cuts[t + 1]]] = 0
-        a = all_a[t if store else 0]
-        np.matmul(h, u, out=a)
-        z, c = a[:, :size], a[:, size:]
-        if halved:
-            a += x[t]
-        else:
-            z += 0.5 * x[t, :, :size]
-            c += x[t, :, size:]
-        np.tanh(a, out=a)
-        z *= 0.5
-        z += 0.5
-        new = out[t]
-        np.subtract(c, h, out=new)
-        new *= z
+            h[begin] = 0
+        for a, w in ((z[t], uz), (c[t], uc)):
+            np.matmul(h, w, out=part)
+            a += part
+            np.tanh(a, out=a)
+        gate, new = z[t], out[t]
+        gate *= 0.5
+        gate += 0.5
+        np.subtract(c[t], h, out=new)
+        new *= gate
         new += h
         if store:
             before[t] = h
         h = new
-    return out, h.copy(), (before, all_a)
+    return out, h.copy(), (before, z, c)
 
 
-def backward(grad, u, saved, keep=None):
-    """Gradients (x, u) for grad, T x B x H, the loss's on the states."""
+def backward_halves(grad, u, saved, keep=None):
+    """Gradients (gates' half of x, not of its half; candidates' half; u) for grad,
+    T x B x H, the loss's on the states."""
     import numpy as np
 
     steps, lanes, size = grad.shape
-    before, a = saved
-    z, c = a[..., :size], a[..., size:]
-    # what a unit's own error is multiplied by on its way to each input
-    dx = np.empty((steps, lanes, 2 * size), dtype=np.float32)
-    stay = 1 - z
-    np.multiply((c - before) * z, stay, out=dx[..., :size])
-    np.multiply(1 - c * c, z, out=dx[..., size:])
-    back = np.ascontiguousarray(u.T, dtype=np.float32)
+    before, z, c = saved
+    back_z, back_c = (np.ascontiguousarray(w.T) for w in _gates(u))
+    dz, dc = np.empty_like(z), np.empty_like(c)
     dh = np.zeros((lanes, size), dtype=np.float32)
+    stay, part = np.empty_like(dh), np.empty_like(dh)
+    starts = _starts(keep, steps)
     for t in range(steps - 1, -1, -1):
         dh += grad[t]
-        d = dx[t]
-        d[:, :size] *= dh
-        d[:, size:] *= dh
-        dh *= stay[t]
-        dh += d @ back
-        if keep is not None:
-            dh *= keep[t][:, None]
-    return dx, before.reshape(-1, size).T @ dx.reshape(-1, 2 * size)
+        np.subtract(1, z[t], out=stay)
+        # a unit's own error on its way to the gate and to the candidate
+        np.multiply(dh, z[t], out=part)
+        np.subtract(c[t], before[t], out=dz[t])
+        dz[t] *= stay
+        dz[t] *= part
+        np.multiply(c[t], c[t], out=dc[t])
+        np.subtract(1, dc[t], out=dc[t])
+        dc[t] *= part
+        dh *= stay
+        for d, w in ((dz[t], back_z), (dc[t], back_c)):
+            np.matmul(d, w, out=part)
+            dh += part
+        if starts[t] is not None:
+            dh[starts[t]] = 0
+    rows = before.reshape(-1, size).T
+    return dz, dc, np.concatenate([rows @ dz.reshape(-1, size), rows @ dc.reshape(-1, size)], axis=1)
+
+
+def forward(x, u, h, keep=None, store: bool = False):
+    """States of T steps for B lanes: x is T x B x 2H, h the state before.
+
+    keep (T x B, 0 or 1) clears a lane's state before a step. Returns (states T x
+    B x H, last state, what ``backward`` needs).
+    """
+    import numpy as np
+
+    size = x.shape[2] // 2
+    z, c = (np.array(half, dtype=np.float32, order="C") for half in (x[..., :size], x[..., size:]))
+    z *= 0.5
+    return forward_halves(z, c, u, h, keep, store)
+
+
+def backward(grad, u, saved, keep=None):
+    """Gradients (x, u) for grad, T x B x H, the loss's on the states."""
+    import numpy as np
+
+    dz, dc, du = backward_halves(grad, u, saved, keep)
+    return np.concatenate([dz, dc], axis=2), du
 
 
 def columns_input(x, pad: int):
@@ -125,27 +164,40 @@ def both_ways(inputs, u, codes):
 
 
 class Adam:
-    """Adam over a dict of arrays, in place, with gradients clipped by norm."""
+    """Adam over a dict of arrays, in place, with gradients clipped by norm. The
+    arrays are taken in stretches that stay in the cache."""
 
-    def __init__(self, params: dict, rate: float = 0.01, clip: float = 5.0):
+    def __init__(self, params: dict, rate: float = 0.01, clip: float = 5.0, stretch: int = 1 << 14):
         import numpy as np
 
-        self.params, self.rate, self.clip, self.n = params, rate, clip, 0
-        self.m = {k: np.zeros_like(v) for k, v in params.items()}
-        self.v = {k: np.zeros_like(v) for k, v in params.items()}
+        self.params, self.rate, self.clip, self.n, self.stretch = params, rate, clip, 0, stretch
+        self.m = {k: np.zeros_like(v, order="C") for k, v in params.items()}
+        self.v = {k: np.zeros_like(v, order="C") for k, v in params.items()}
 
     def step(self, grads: dict, rate: float | None = None) -> None:
         import numpy as np
 
         self.n += 1
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
+        flat = {k: np.ravel(g) for k, g in grads.items()}
+        norm = math.sqrt(sum(float(np.dot(g, g)) for g in flat.values()))
         scale = min(1.0, self.clip / (norm + 1e-12))
-        rate = (rate or self.rate) * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
-        for k, g in grads.items():
-            g = g * scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            self.params[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+        rate = (rate or self.rate) * math.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
+        for k, all_g in flat.items():
+            arrays = [x[k].reshape(-1) for x in (self.m, self.v, self.params)]
+            for i in range(0, len(all_g), self.stretch):
+                m, v, p = (x[i : i + self.stretch] for x in arrays)
+                g = all_g[i : i + self.stretch] * scale
+                m *= 0.9
+                m += 0.1 * g
+                g *= g
+                g *= 0.001
+                v *= 0.999
+                v += g
+                np.sqrt(v, out=g)
+                g += 1e-8
+                np.divide(m, g, out=g)
+                g *= rate
+                p -= g
 
 
 def softmax(a):

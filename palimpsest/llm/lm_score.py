@@ -15,6 +15,8 @@ is proper.
    common parameters over its documents of the round, and the tasks' parameters
    are averaged, weighted by tokens, in a tree. Output biases start at the corpus'
    class and word frequencies.
+   Documents of several batches lie side by side, so that a long one seldom runs
+   alone; how many tokens a task holds for that bounds memory, not what is read.
 3. Scoring: the state is carried across windows from a document's first token to
    its end; every document is scored whole.
 
@@ -45,6 +47,10 @@ from . import common, gru
 #: Keys that stand for the end mark and for the rest of the vocabulary.
 END, REST = -1, -2
 
+#: A task passes over documents of about this many tokens side by side, so that
+#: long ones have company to their end.
+GROUP = 1 << 22
+
 
 def _tokens(texts: list):
     """(token hashes as int64 of all texts, the end mark after each text's words;
@@ -89,6 +95,33 @@ def count_words(docs: DataFrame, bound: int = 400_000) -> DataFrame:
     return partial.groupBy("h").agg(F.sum("c").alias("c"))
 
 
+class Places:
+    """``numpy.searchsorted`` in sorted hashes: a table by the first bits says where
+    to begin, a few steps upwards do the rest. Keys that crowd are searched by
+    halving."""
+
+    def __init__(self, keys, crowd: int = 64):
+        import numpy as np
+
+        bits = min(21, max(4, int(len(keys)).bit_length() + 3))
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+        self.shift, self.half = 64 - bits, 1 << (bits - 1)
+        held = np.bincount((keys >> self.shift) + self.half, minlength=1 << bits)
+        self.first = (np.cumsum(held) - held).astype(np.int32) if held.max() <= crowd else None
+
+    def of(self, h):
+        import numpy as np
+
+        if self.first is None:
+            return np.searchsorted(self.keys[:-1], h)
+        at = self.first[(h >> self.shift) + self.half]
+        left = np.flatnonzero(self.keys[at] < h)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] < h[left]]
+        return at
+
+
 class Vocabulary:
     """What tasks need to know of the corpus: hot counts and model entries."""
 
@@ -115,23 +148,39 @@ class Vocabulary:
         self.bounds = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(self.h))
         self.class_of = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
         self.sorted = np.argsort(self.h)
+        # counts of entries that the hot table holds too
+        self.held = np.where((self.h == REST) | (self.c == 0), -1, self.c)
+
+    def __getstate__(self):
+        return {k: x for k, x in self.__dict__.items() if not isinstance(x, Places)}
+
+    def _places(self, name: str, keys) -> Places:
+        """Made where it is first used, not sent along."""
+        if name not in self.__dict__:
+            self.__dict__[name] = Places(keys)
+        return self.__dict__[name]
 
     def entries(self, h):
         """Model entry of each token."""
         import numpy as np
 
         known = self.h[self.sorted]
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        at = np.minimum(self._places("by_entry", known).of(h), len(known) - 1)
         return np.where(known[at] == h, self.sorted[at], self.rest)
 
-    def counts(self, h):
-        """Count of each token by the hot table, -1 if it isn't there."""
+    def counts(self, h, entry):
+        """Count of each token, whose model entries are given, by the hot table; -1
+        if it isn't there."""
         import numpy as np
 
+        out = self.held[entry]
         if not len(self.hot_h):
-            return np.full(len(h), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hot_h, h), len(self.hot_h) - 1)
-        return np.where(self.hot_h[at] == h, self.hot_c[at], -1)
+            return out
+        rest = np.flatnonzero(out < 0)
+        h = h[rest]
+        at = np.minimum(self._places("by_hot", self.hot_h).of(h), len(self.hot_h) - 1)
+        out[rest] = np.where(self.hot_h[at] == h, self.hot_c[at], -1)
+        return out
 
 
 def vocabulary(counts: DataFrame, size: int, classes: int, hot_words: int) -> Vocabulary:
@@ -173,66 +222,124 @@ def new_model(v: Vocabulary, size: int, seed: int = 9) -> dict:
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
-def _exp_sums(a):
-    """exp of the rows of a less a shift, in place; ln of each row's sum plus the
-    shift. One shift serves all rows unless a row vanishes by it."""
+def _exp_sums(a, cut: int, small: bool):
+    """exp of the columns of a, each part (rows before cut, rows from it on) less a
+    shift, in place; sums of each column's parts, and the parts' shifts together.
+    Small values need no shift, and one serves all unless a part vanishes by it."""
     import numpy as np
 
-    shift = a.max()
-    if float(shift) - float(a.max(axis=1).min() if a.min() < shift - 60 else shift) > 60:
-        shift = a.max(axis=1, keepdims=True)
-    a -= shift
+    parts, shift = (a[:cut], a[cut:]), 0.0
+    if not small:
+        most = a.max()
+        if a.min() < most - 60:
+            for x in parts:
+                top = x.max(axis=0)
+                x -= top
+                shift = shift + top
+        else:
+            a -= most
+            shift = 2 * most
     np.exp(a, out=a)
-    z = a @ np.ones(a.shape[1], dtype=a.dtype)
-    return z, np.log(z) + np.ravel(shift)
+    return *(np.add.reduce(x, axis=0) for x in parts), shift
+
+
+def _by_class(cls, bounds, block: int):
+    """(order of the rows by class; (class, its first row, past its last) of blocks
+    of at most block rows in that order)."""
+    import numpy as np
+
+    order = np.argsort(cls.astype(np.int16) if len(bounds) < 1 << 15 else cls, kind="stable")
+    cuts = np.searchsorted(cls[order], np.arange(len(bounds))).tolist()
+    spans = [(c, i, min(i + block, cuts[c + 1])) for c in range(len(bounds) - 1) for i in range(cuts[c], cuts[c + 1], block)]
+    return order, spans
 
 
-def log_probs(p: dict, v: Vocabulary, states, target, grads: bool = False, block: int = 2048):
+def log_probs(p: dict, v: Vocabulary, states, target, grads: bool = False, block: int = 4096):
     """ln P(target | state) of each row; with grads also the gradients of minus
-    their mean."""
+    their mean.
+
+    Rows are taken by the target's class, so that the classes and the class' own
+    words are rows of one product, the biases being the weights of a last 1."""
     import numpy as np
 
-    n = len(target)
+    n, size = states.shape
+    classes = len(v.bounds) - 1
     cls = v.class_of[target]
-    out = np.empty(n, dtype=states.dtype)
+    order, spans = _by_class(cls, v.bounds, block)
+    s = np.empty((n, size + 1), dtype=np.float32)
+    s[:, :size] = np.take(states, order, axis=0)
+    s[:, size] = 1
+    # the row of each target's word in the product of its class
+    own = (target - v.bounds[cls] + classes)[order]
+    by_class = np.concatenate([p["wc"].T, p["bc"][:, None]], axis=1)
+    by_word = np.concatenate([p["wo"], p["bo"][:, None]], axis=1)
+    reach = max(float(np.abs(w).sum(axis=1).max()) for w in (by_class, by_word))
+    small = n > 0 and reach * max(1.0, float(s.max()), -float(s.min())) < 60
+    picked, sums, rows = np.empty(n, dtype=np.float32), np.empty((2, n), dtype=np.float32), np.arange(block)
     if grads:
-        g = {"wc": 0, "bc": 0, "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-        back = np.empty_like(states)
-    for k in range(0, n, block):  # blocks that stay in the cache
-        s, own = states[k : k + block], cls[k : k + block]
-        rows = np.arange(len(own))
-        a = s @ p["wc"]
-        a += p["bc"]
-        picked = a[rows, own]
-        z, logs = _exp_sums(a)
-        out[k : k + block] = picked - logs
-        if grads:
-            a /= (z * n)[:, None]
-            a[rows, own] -= 1 / n
-            g["wc"] += s.T @ a
-            g["bc"] += a.sum(axis=0)
-            back[k : k + block] = a @ p["wc"].T
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(len(v.bounds)))
-    for c in range(len(v.bounds) - 1):
+        g_class, g_word = np.zeros_like(by_class), np.zeros_like(by_word)
+        came = np.empty((n, size), dtype=np.float32)
+    for c, i, j in spans:
         lo, hi = v.bounds[c], v.bounds[c + 1]
-        at = order[cuts[c] : cuts[c + 1]]
-        if not len(at) or hi - lo == 1:
-            continue
-        s = states[at]
-        b = s @ p["wo"][lo:hi].T
-        b += p["bo"][lo:hi]
-        own = np.arange(len(at)), target[at] - lo
-        picked = b[own]
-        z, logs = _exp_sums(b)
-        out[at] += picked - logs
+        weights = np.concatenate([by_class, by_word[lo:hi]])
+        a = weights @ s[i:j].T
+        at = own[i:j], rows[: j - i]
+        np.add(a[c], a[at], out=picked[i:j])
+        zc, zw, shift = _exp_sums(a, classes, small)
+        sums[0, i:j], sums[1, i:j] = zc, zw
+        if not small:
+            picked[i:j] -= shift
         if grads:
-            b /= (z * n)[:, None]
-            b[own] -= 1 / n
-            g["wo"][lo:hi] = b.T @ s
-            g["bo"][lo:hi] = b.sum(axis=0)
-            back[at] += b @ p["wo"][lo:hi]
-    return (out, g, back) if grads else out
+            # to the targets' probabilities less 1, all divided by n
+            a[c] -= zc
+            a[at] -= zw
+            a[:classes] *= (1 / n) / zc
+            a[classes:] *= (1 / n) / zw
+            np.matmul(a.T, weights[:, :size], out=came[i:j])
+            g = a @ s[i:j]
+            g_class += g[:classes]
+            g_word[lo:hi] += g[classes:]
+    np.log(sums, out=sums)
+    out = np.empty_like(picked)
+    out[order] = picked - sums[0] - sums[1]
+    if not grads:
+        return out
+    back = np.empty_like(came)
+    back[order] = came
+    g = {"wc": g_class[:, :size].T, "bc": g_class[:, size], "wo": g_word[:, :size], "bo": g_word[:, size]}
+    return out, {k: np.ascontiguousarray(x) for k, x in g.items()}, back
+
+
+def input_gradient(v: Vocabulary, entry, dz, dc, block: int = 4096):
+    """Sums of the rows of dz and dc, side by side, by entry: a product with each
+    class' rows of 0 and 1."""
+    import numpy as np
+
+    size = dz.shape[1]
+    order, spans = _by_class(v.class_of[entry], v.bounds, block)
+    at, dz, dc = entry[order] - v.bounds[v.class_of[entry[order]]], np.take(dz, order, axis=0), np.take(dc, order, axis=0)
+    rows = np.arange(block)
+    out = np.zeros((len(v.h), 2 * size), dtype=np.float32)
+    for c, i, j in spans:
+        lo, hi = v.bounds[c], v.bounds[c + 1]
+        ones = np.zeros((j - i, hi - lo), dtype=np.float32)
+        ones[rows[: j - i], at[i:j]] = 1
+        out[lo:hi, :size] += ones.T @ dz[i:j]
+        out[lo:hi, size:] += ones.T @ dc[i:j]
+    return out
+
+
+def side_by_side(parts: Iterator, tokens: int = GROUP) -> Iterator:
+    """Lists of parts of about tokens in all; a part begins with its documents."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += sum(map(len, part[0]))
+        if size >= tokens:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def lanes_of(lengths, lanes: int):
@@ -290,10 +397,12 @@ class Lanes:
 
 
 def _inputs(p: dict):
-    """Input rows with the gates' half halved, as the recurrent layer wants them."""
-    x = p["x"].copy()
-    x[:, : x.shape[1] // 2] *= 0.5
-    return x
+    """The gates' half of the input rows, halved, and the candidates' half, as the
+    recurrent layer wants them."""
+    import numpy as np
+
+    size = p["x"].shape[1] // 2
+    return 0.5 * p["x"][:, :size], np.ascontiguousarray(p["x"][:, size:])
 
 
 def train_on(p: dict, v: Vocabulary, docs: list, opt, steps: int = 48, lanes: int = 256) -> int:
@@ -308,12 +417,15 @@ def train_on(p: dict, v: Vocabulary, docs: list, opt, steps: int = 48, lanes: in
     while live := held.live(k):
         token, prev, kept, doc = held.window(k, min(steps * lanes // live, 20 * steps))
         real = doc.ravel() >= 0
-        states, h, saved = gru.forward(_inputs(p)[prev], p["u"], h[:live], kept, store=True, halved=True)
-        _, g, back = log_probs(p, v, states.reshape(-1, states.shape[2])[real], token.ravel()[real], grads=True)
-        grad = np.zeros((len(real), states.shape[2]), dtype=np.float32)
-        grad[real] = back
-        dx, g["u"] = gru.backward(grad.reshape(states.shape), p["u"], saved, kept)
-        g["x"] = gru.scatter_rows(prev.ravel(), dx.reshape(-1, dx.shape[2]), len(p["x"]))
+        z, c = (np.take(x, prev, axis=0) for x in _inputs(p))
+        states, h, saved = gru.forward_halves(z, c, p["u"], h[:live], kept, store=True)
+        flat, size, whole = states.reshape(len(real), -1), states.shape[2], real.all()
+        _, g, grad = log_probs(p, v, flat if whole else flat[real], token.ravel() if whole else token.ravel()[real], grads=True)
+        if not whole:
+            back, grad = grad, np.zeros_like(flat)
+            grad[real] = back
+        dz, dc, g["u"] = gru.backward_halves(grad.reshape(states.shape), p["u"], saved, kept)
+        g["x"] = input_gradient(v, prev.ravel(), dz.reshape(-1, size), dc.reshape(-1, size))
         opt.step(g)
         seen += int(real.sum())
         k += len(token)
@@ -332,7 +444,8 @@ def score_batch(p: dict, v: Vocabulary, docs: list, steps: int = 64, lanes: int
     while live := held.live(k):
         token, before, keep, doc = held.window(k, min(steps * lanes // live, 20 * steps))
         k += len(token)
-        states, h, _ = gru.forward(x[before], p["u"], h[:live], keep, halved=True)
+        z, c = (np.take(half, before, axis=0) for half in x)
+        states, h, _ = gru.forward_halves(z, c, p["u"], h[:live], keep)
         at = doc.ravel()
         real = at >= 0
         got = log_probs(p, v, states.reshape(-1, states.shape[2])[real], token.ravel()[real])
@@ -370,11 +483,16 @@ def train_round(docs: DataFrame, shared, fan_in: int = 32) -> DataFrame:
         p = {k: x.copy() for k, x in start.items()}
         opt = gru.Adam(p, 0.01)
         seen = 0
-        for batch in batches:
-            texts = [t for t, train in zip(common.text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True) if train]
-            if texts:
-                flat, sizes = _tokens(texts)
-                seen += train_on(p, v, np.split(v.entries(flat), np.cumsum(sizes)[:-1]), opt)
+
+        def parts():
+            for batch in batches:
+                texts = [t for t, train in zip(common.text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True) if train]
+                if texts:
+                    flat, sizes = _tokens(texts)
+                    yield (np.split(v.entries(flat).astype(np.int32), np.cumsum(sizes)[:-1]),)
+
+        for group in side_by_side(parts()):
+            seen += train_on(p, v, [doc for (docs,) in group for doc in docs], opt)
         if not seen:
             return
         change = ((_packed(p) - _packed(start))).astype(np.float16)
@@ -438,23 +556,32 @@ def score(
         import pyarrow as pa
 
         v, p = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat, sizes = _tokens(common.text_bytes(batch.column(2)))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            c, entry = v.counts(flat), v.entries(flat)
-            model = score_batch(p, v, np.split(entry, np.cumsum(sizes)[:-1])) / math.log(10)
-            here, rest = c >= 0, entry == v.rest
-            logs = np.where(here, np.log10(np.maximum(c, 0) + 1.0), 0.0)
-            each = lambda w: np.bincount(owner, weights=w, minlength=len(sizes))
-            others = np.flatnonzero(~here)
-            missing = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(owner[others], minlength=len(sizes)))).astype(np.int32), pa.array(flat[others]))
-            arrays = [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64()), pa.array(each(c > 0).astype(np.int64)), pa.array(each(logs)), pa.array(each(rest).astype(np.int64)), pa.array(each(logs * rest)), pa.array(model), missing]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "train", "n_tokens", "known", "logs", "n_rest", "rest_logs", "model", "others"])
+        names = ["row", "doc_id", "train", "n_tokens", "known", "logs", "n_rest", "rest_logs", "others", "model"]
+
+        def parts():
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                flat, sizes = _tokens(common.text_bytes(batch.column(2)))
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                entry = v.entries(flat)
+                c = v.counts(flat, entry)
+                here, rest = c >= 0, entry == v.rest
+                logs = np.where(here, np.log10(np.maximum(c, 0) + 1.0), 0.0)
+                each = lambda w: np.bincount(owner, weights=w, minlength=len(sizes))
+                others = np.flatnonzero(~here)
+                missing = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(owner[others], minlength=len(sizes)))).astype(np.int32), pa.array(flat[others]))
+                arrays = [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64()), pa.array(each(c > 0).astype(np.int64)), pa.array(each(logs)), pa.array(each(rest).astype(np.int64)), pa.array(each(logs * rest)), missing]
+                yield np.split(entry.astype(np.int32), np.cumsum(sizes)[:-1]), arrays
+
+        for group in side_by_side(parts()):
+            model = score_batch(p, v, [doc for docs, _ in group for doc in docs]) / math.log(10)
+            for docs, arrays in group:
+                here, model = np.split(model, [len(docs)])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(here)], names=names)
 
     source = base.select("row", "doc_id", "text", "train")
-    kinds = "row bigint, doc_id bigint, train boolean, n_tokens bigint, known bigint, logs double, n_rest bigint, rest_logs double, model double, others array<bigint>"
+    kinds = "row bigint, doc_id bigint, train boolean, n_tokens bigint, known bigint, logs double, n_rest bigint, rest_logs double, others array<bigint>, model double"
     whole = common.stage_table(source.mapInArrow(scored, kinds), "scores")
     rare = whole.select("row", F.explode("others").alias("h")).join(counts, "h", "left")
     rare = rare.groupBy("row").agg(
