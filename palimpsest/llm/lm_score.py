@@ -36,7 +36,6 @@ Only ``doc_id`` and ``text`` are read, so other columns may have any name.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -69,6 +68,17 @@ def _tokens(texts: list):
     return flat, sizes
 
 
+def summed(parts: list):
+    """(hashes, sums of their counts) over parts of (hashes, counts)."""
+    import numpy as np
+
+    h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    return h[first], np.add.reduceat(c[order], first)
+
+
 def count_words(docs: DataFrame, bound: int = 400_000) -> DataFrame:
     """(h, c) over the documents with ``train``; a task holds bound words or so
     before it passes them on."""
@@ -77,19 +87,21 @@ def count_words(docs: DataFrame, bound: int = 400_000) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        def rows(c: Counter):
-            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.int64()), pa.array(c.values(), pa.int64())], names=["h", "c"])
+        def rows(h, c):
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64())], names=["h", "c"])
 
-        held: Counter = Counter()
+        held: list = []
         for batch in batches:
             texts = [t for t, train in zip(common.text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True) if train]
-            h, c = np.unique(_tokens(texts)[0], return_counts=True)
-            held.update(dict(zip(h.tolist(), c.tolist(), strict=True)))
-            if len(held) > bound:
-                yield rows(held)
-                held = Counter()
+            if not texts:
+                continue
+            held.append(np.unique(_tokens(texts)[0], return_counts=True))
+            if sum(len(h) for h, _ in held) > bound:
+                held = [summed(held)]
+                if len(held[0][0]) > bound:
+                    yield rows(*held.pop())
         if held:
-            yield rows(held)
+            yield rows(*summed(held))
 
     partial = docs.select("row", "text", "train").mapInArrow(run, "h bigint, c bigint")
     return partial.groupBy("h").agg(F.sum("c").alias("c"))

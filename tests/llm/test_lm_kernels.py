@@ -1,6 +1,7 @@
 """The language model's lookups, output layer and gradients against plain ones."""
 
 import pickle
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -73,6 +74,21 @@ def test_input_gradient():
     assert np.allclose(lm_score.input_gradient(v, entry, d[:, :4], d[:, 4:], block=64), want, atol=1e-4)
 
 
+@pytest.mark.parametrize("bound", [5, 60, 10_000])
+def test_counts_of_words(spark, bound):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 40) % 300), i % 4 > 0) for i in range(200)] + [(200, None, True), (201, "W1", False)]
+    docs = spark.createDataFrame(rows, "row long, text string, train boolean").repartition(3)
+    got = {r.h: r.c for r in lm_score.count_words(docs, bound).collect()}
+    want = Counter(h for _, t, train in rows if train for h in lm_score._tokens([(t or "").encode()])[0].tolist())
+    assert got == want
+
+
+def test_summed():
+    h, c = lm_score.summed([(np.array([1, 5]), np.array([2, 1])), (np.array([-3, 5, 9]), np.array([1, 4, 7]))])
+    assert h.tolist() == [-3, 1, 5, 9] and c.tolist() == [1, 2, 5, 7]
+
+
 def test_documents_of_batches_go_side_by_side():
     docs = [[np.zeros(n, dtype=np.int32)] for n in (3, 4, 5, 100, 1, 2)]
     groups = list(lm_score.side_by_side(iter([(d, i) for i, d in enumerate(docs)]), tokens=10))
